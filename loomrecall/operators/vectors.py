@@ -64,7 +64,8 @@ def exact_topk(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
         out = []
         for at in range(0, len(q_), 512):
             part = q_[at : at + 512]
-            s = np.round(_scores(x[part], x[d_], metric), 9)
+            raw = _scores(x[part], x[d_], metric)
+            s = np.round(raw, 9)
             ok = np.ones(s.shape, bool)
             if same_group:
                 ok &= g[part][:, None] == g[d_][None, :]
@@ -77,9 +78,9 @@ def exact_topk(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
             else:
                 keep = ok
             r, c = np.nonzero(keep)
-            qi, di, sc = ids[part[r]], ids[d_[c]], s[r, c]
-            order = np.lexsort((di, -sc, qi))
-            qi, di, sc = qi[order], di[order], sc[order]
+            qi, di = ids[part[r]], ids[d_[c]]
+            order = np.lexsort((di, -s[r, c], qi))
+            qi, di, sc = qi[order], di[order], raw[r, c][order]
             if len(qi):
                 begin = np.flatnonzero(np.concatenate([[True], qi[1:] != qi[:-1]]))
                 place = np.arange(len(qi)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(qi)]])))
