@@ -1,6 +1,6 @@
 """SimHash near-duplicates over navigable small-world graphs.
 
-A document is described by the 64-bit SimHash of its distinct words (runs of letters,
+A document is described by the 128-bit SimHash of its distinct words (runs of letters,
 digits and non-ASCII characters, ASCII case folded) and a one-permutation MinHash
 sketch of ``BINS`` 16-bit values. Documents with equal descriptions collapse to the
 smallest doc_id first, so thousands of copies cost one row.
@@ -14,7 +14,8 @@ navigable small-world graph over Hamming distance is built in batches, and every
 a query: a beam search from fixed entry points whose beam doubles while all it holds
 lies within ``RADIUS``, so there is no cap on partners. Each shard audits its recall
 against an exact scan of ``AUDIT`` of its queries; below ``LEAST_RECALL`` all beams are
-doubled and at last the shard is scanned exactly.
+doubled and at last the shard is scanned exactly. Near copies meet in several shards, so
+the recall of a pair is above that of a shard.
 
 Pairs within the radius are verified by the Jaccard estimate of their sketches
 (``LEAST_JACCARD``), shards reduce them to spanning stars, and a global large-star /
@@ -36,14 +37,15 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, log2_parts, materialize, record_batch, slices
 from .textkit import mix64, words_of
 
-RADIUS = 14
+RADIUS = 28
+BITS = 128
 LEAST_JACCARD = 0.65
 BINS = 128
 ROUTES = 6
 SHARD_ROWS = 8192
 EXACT_ROWS = 256
 AUDIT = 64
-LEAST_RECALL = 0.97
+LEAST_RECALL = 0.9
 DEGREE = 32
 LONG = 8
 BEAM = 32
@@ -62,12 +64,13 @@ def describe(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, row = h[new], row[new]
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, BINS), np.uint16)
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros((0, BINS), np.uint16)
     begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     rows, sizes = row[begin], np.diff(np.concatenate([begin, [len(row)]]))
-    bits = np.unpackbits(mix64(h + np.uint64(1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    both = np.stack([mix64(h + np.uint64(1)), mix64(h + np.uint64(4))], axis=1)
+    bits = np.unpackbits(both.view(np.uint8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-    sig = np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    sig = np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64)
     m = mix64(h + np.uint64(2))
     sketch = np.full((len(rows), BINS), _EMPTY, np.uint16)
     slot = np.repeat(np.arange(len(rows)), sizes) * BINS + (m % np.uint64(BINS)).astype(np.int64)
@@ -75,6 +78,11 @@ def describe(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, sig, sketch
 
 
+def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances; the last axis holds the two words of a signature."""
+    return np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1])
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates of sketch pairs, bins empty on both sides left out."""
     filled = ((a != _EMPTY) | (b != _EMPTY)).sum(axis=-1)
@@ -82,29 +90,29 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(i, sig, sketch) of the documents that have words."""
-    schema = pa.schema([("i", pa.int64()), ("sig", pa.int64()), ("sketch", pa.binary())])
+    """(i, s0, s1, sketch) of the documents that have words."""
+    schema = pa.schema([("i", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("sketch", pa.binary())])
 
     def work(batches):
         for whole in batches:
             for b in slices(whole, "t"):
                 rows, sig, sketch = describe(b.column(1))
                 packed = [s.tobytes() for s in sketch]
-                yield record_batch(schema, [np.asarray(b.column(0))[rows], sig.view(np.int64), pa.array(packed, pa.binary())])
+                yield record_batch(schema, [np.asarray(b.column(0))[rows], *sig.view(np.int64).T, pa.array(packed, pa.binary())])
 
     src = docs.select(docs["doc_id"].cast("long").alias("i"), docs["text"].alias("t")).where("i is not null and t is not null")
-    return src.mapInArrow(work, "i long, sig long, sketch binary")
+    return src.mapInArrow(work, "i long, s0 long, s1 long, sketch binary")
 
 
 class Graph:
-    """Navigable small world over 64-bit signatures, inserted in array order."""
+    """Navigable small world over 128-bit signatures, inserted in array order."""
 
     def __init__(self, sig: np.ndarray):
         self.sig = sig
         n = len(sig)
         self.links = np.full((n, DEGREE), -1, np.int64)
         done = min(n, 64)
-        d = np.bitwise_count(sig[:done, None] ^ sig[None, :done]).astype(np.int64)
+        d = gaps(sig[:done, None], sig[None, :done]).astype(np.int64)
         np.fill_diagonal(d, 1 << 20)
         near = np.argsort(d, axis=1, kind="stable")[:, : min(LONG, done - 1)]
         self.links[:done, : near.shape[1]] = near
@@ -133,7 +141,7 @@ class Graph:
         extra[row[keep], place[keep]] = src[keep]
         old = self.links[at]
         rest = np.concatenate([old[:, LONG:], extra], axis=1)
-        gap = np.bitwise_count(self.sig[rest] ^ self.sig[at][:, None]).astype(np.int64)
+        gap = gaps(self.sig[rest], self.sig[at][:, None]).astype(np.int64)
         gap[rest < 0] = 1 << 20
         best = np.argsort(gap, axis=1, kind="stable")[:, : DEGREE - LONG]
         self.links[at, LONG:] = np.take_along_axis(rest, best, axis=1)
@@ -144,7 +152,7 @@ class Graph:
         ready = len(self.sig) if ready is None else ready
         beam = min(beam, ready)
         entry = self.entry[self.entry < ready]
-        d = np.bitwise_count(self.sig[entry][None, :] ^ queries[:, None]).astype(np.uint64)
+        d = gaps(self.sig[entry][None, :], queries[:, None]).astype(np.uint64)
         key = (d << np.uint64(40)) | (entry.astype(np.uint64) << np.uint64(1))[None, :] | np.uint64(1)
         none = np.uint64((1 << 64) - 1)
         state = np.full((len(queries), max(beam, len(entry))), none)
@@ -163,7 +171,7 @@ class Graph:
             node = ((s[rows, pick] & np.uint64((1 << 40) - 1)) >> np.uint64(1)).astype(np.int64)
             s[rows, pick] &= ~np.uint64(1)
             near = self.links[node]
-            d = np.bitwise_count(self.sig[near] ^ queries[live][:, None]).astype(np.uint64)
+            d = gaps(self.sig[near], queries[live][:, None]).astype(np.uint64)
             fresh = (d << np.uint64(40)) | (np.maximum(near, 0).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
             fresh[(near < 0) | (near >= ready)] = none
             both = np.sort(np.concatenate([s, fresh], axis=1), axis=1)
@@ -191,20 +199,21 @@ def _exact(queries: np.ndarray, sig: np.ndarray, radius: int) -> tuple[np.ndarra
     q, m = [], []
     step = max(1, (4 << 20) // max(len(sig), 1))
     for at in range(0, len(queries), step):
-        x, y = np.nonzero(np.bitwise_count(queries[at : at + step, None] ^ sig[None, :]) <= radius)
+        x, y = np.nonzero(gaps(queries[at : at + step, None], sig[None, :]) <= radius)
         q.append(x + at)
         m.append(y)
     return (np.concatenate(q), np.concatenate(m)) if q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def shard_pairs(queries: np.ndarray, members: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Pairs (query, member) within the radius, and the recall audited on the way."""
+def shard_pairs(queries: np.ndarray, members: np.ndarray, own: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Pairs (query, member) within the radius, and the recall audited on the way over pairs
+    of different rows; own: the member that a query is itself, or -1."""
     if len(members) <= EXACT_ROWS:
         return *_exact(queries, members, radius), 1.0
     graph = Graph(members)
     probe = np.unique(np.linspace(0, len(queries) - 1, AUDIT).astype(np.int64))
     want_q, want_m = _exact(queries[probe], members, radius)
-    want = set(zip(probe[want_q].tolist(), want_m.tolist()))
+    want = {(a, b) for a, b in zip(probe[want_q].tolist(), want_m.tolist()) if own[a] != b}
     beam = BEAM
     for _ in range(3):
         q, m = [], []
@@ -246,7 +255,9 @@ def shard_edges(ids: np.ndarray, sig: np.ndarray, sketch: np.ndarray, member: np
     order = np.argsort(mix64(ids.view(np.uint64)), kind="stable")  # insertion in hash order
     ids, sig, sketch, member = ids[order], sig[order], sketch[order], member[order]
     inside = np.flatnonzero(member)
-    q, m, _ = shard_pairs(sig, sig[inside])
+    own = np.full(len(ids), -1)
+    own[inside] = np.arange(len(inside))
+    q, m, _ = shard_pairs(sig, sig[inside], own)
     m = inside[m]
     keep = (q < m) | ~member[q]
     q, m = q[keep], m[keep]
@@ -262,18 +273,18 @@ def shard_edges(ids: np.ndarray, sig: np.ndarray, sketch: np.ndarray, member: np
 
 
 def candidate_edges(reps: DataFrame, rows: int) -> DataFrame:
-    """Verified edges (u, v), u > v, between the rows of reps (i, sig, sketch)."""
+    """Verified edges (u, v), u > v, between the rows of reps (i, s0, s1, sketch)."""
     bits = log2_parts(rows, SHARD_ROWS, most=30)
-    spark_bits = [F.avg(F.expr(f"shiftrightunsigned(sig, {b}) & 1")).alias(f"b{b}") for b in range(64)]
-    means = reps.agg(*spark_bits).first()
-    even = sorted(range(64), key=lambda b: (round(abs((means[b] or 0.0) - 0.5), 3), b))
+    one = lambda b: F.expr(f"shiftrightunsigned(s{b // 64}, {b % 64}) & 1")
+    means = reps.agg(*(F.avg(one(b)).alias(f"b{b}") for b in range(BITS))).first()
+    even = sorted(range(BITS), key=lambda b: (round(abs((means[b] or 0.0) - 0.5), 3), b))
     routes = 1 if bits == 0 else ROUTES
-    bands = [[even[(r * bits + j) % 64] for j in range(bits)] for r in range(routes)]
+    bands = [[even[(r * bits + j) % BITS] for j in range(bits)] for r in range(routes)]
 
     def band(r: int):
         value = F.lit(r).cast("long")
         for b in bands[r]:
-            value = F.shiftleft(value, 1).bitwiseOR(F.expr(f"shiftrightunsigned(sig, {b}) & 1"))
+            value = F.shiftleft(value, 1).bitwiseOR(one(b))
         return value
 
     routed = reps.withColumn("bucket", F.explode(F.array(*(band(r) for r in range(routes)))))
@@ -285,12 +296,13 @@ def candidate_edges(reps: DataFrame, rows: int) -> DataFrame:
         routed.join(parts, "bucket")
         .withColumn("home", F.pmod(F.xxhash64("i"), "parts").cast("int"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("bucket", "shard", "i", "sig", "sketch", (F.col("home") == F.col("shard")).alias("member"))
+        .select("bucket", "shard", "i", "s0", "s1", "sketch", (F.col("home") == F.col("shard")).alias("member"))
     )
 
     def work(t: pa.Table) -> pa.Table:
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS)
-        ids, sig = (t.column(c).to_numpy() for c in ("i", "sig"))
+        ids = t.column("i").to_numpy()
+        sig = np.stack([t.column(c).to_numpy() for c in ("s0", "s1")], axis=1)
         u, v = shard_edges(ids, sig.view(np.uint64), sketch, t.column("member").to_numpy())
         return pa.table({"u": u.astype(np.int64), "v": v.astype(np.int64)})
 
@@ -320,7 +332,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id) of every document that a smaller one of its group stands for."""
     described = materialize(signatures(docs), "signatures")
-    same = Window.partitionBy("sig", F.xxhash64("sketch"))
+    same = Window.partitionBy("s0", "s1", F.xxhash64("sketch"))
     copies = described.select("i", F.min("i").over(same).alias("rep"))
     copies = materialize(copies.where("i <> rep").distinct(), "copies")
     reps = described.join(copies.select("i").distinct(), "i", "left_anti").dropDuplicates(["i"])
