@@ -326,7 +326,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .groupBy(F.col("doc_id").alias("__id"))
         .agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("__spans"))
     )
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__id"], "left").drop("__id")
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__id"], "left").drop(spans["__id"])
     names = docs.columns
     at = names.index("text")
     chars = names.index("n_chars") if "n_chars" in names else None
