@@ -240,8 +240,6 @@ class Bpe:
 
     def _learn(self, chunks: set[str]) -> None:
         """Put the packed tokens of the chunks into the cache."""
-        if len(self.cache) + len(chunks) > CACHE:
-            self.cache.clear()
         todo = list(chunks)
         split = [self.pattern.findall(c) for c in todo]
         pieces = list({p for s in split for p in s})
@@ -266,10 +264,10 @@ class Bpe:
         have = self.cache
         unknown = {c for cs in chunked if cs for c in cs} - have.keys()
         if unknown:
-            before = len(have)
+            if len(have) + len(unknown) > CACHE:
+                have.clear()
+                unknown = {c for cs in chunked if cs for c in cs}
             self._learn(unknown)
-            if len(have) < before + len(unknown):  # the cache was emptied
-                self._learn({c for cs in chunked if cs for c in cs} - have.keys())
         return [None if cs is None else b"".join(map(have.__getitem__, cs)) for cs in chunked]
 
     def decode(self, ids: np.ndarray) -> str:
