@@ -14,12 +14,14 @@ an empty store; other columns of the input aren't stored.
 
 from __future__ import annotations
 
+import base64
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import VOCABULARY, encoder, packed_lists
+from .bpe import PATTERN, VOCABULARY, packed_lists
 from .common import shared_dir, slices
 
 ROW_GROUP_BYTES = 32 << 20
@@ -28,16 +30,26 @@ PAGE_ROWS = 2000
 SCHEMA = "doc_id long, source string, lang string, n_tokens long, token_ids array<int>"
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str):
+    """The rank file's BPE in tiktoken's native code; without special tokens."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     schema = pa.schema(
         [("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32()))]
     )
 
     def work(batches):
-        bpe = encoder(vocabulary)
+        t = tokenizer(vocabulary)
         for whole in batches:
             for b in slices(whole, "t"):
-                packed = bpe.encode_batch(b.column(3).to_pylist())
+                packed = [None if x is None else t.encode_to_numpy(x, disallowed_special=()).tobytes() for x in b.column(3).to_pylist()]
                 n = pa.array([None if p is None else len(p) // 4 for p in packed], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), n, packed_lists(packed).cast(pa.list_(pa.int32()))], schema=schema)
 
