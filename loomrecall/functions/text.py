@@ -9,6 +9,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN = r"[A-Za-z0-9_./\\\x{80}-\x{10FFFF}-][A-Za-z0-9_./\\:\x{80}-\x{10FFFF}-]*"
 PART = r"[_\-.:]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 NUMBER = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+#: Runs without a match are plain words: no separator, digit or camel boundary.
+SPECIAL = r"[_\-./\\:0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]"
 IDENTIFIER = r"[_\-.:]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 
 
@@ -49,7 +51,12 @@ def standard_tokens(text: Column, parts: bool = True) -> Column:
         split = (kind == "identifier") & ~body.rlike("^-[^0-9]") & ~single & (body != "")
         return F.when(split, F.concat(whole, inner)).otherwise(whole)
 
-    return F.filter(F.flatten(F.transform(runs, of)), lambda t: t["text"] != "")
+    def fast(run: Column) -> Column:
+        """Most runs are plain words and need one match only."""
+        plain = F.array(F.struct(ascii_lower(run).alias("text"), F.lit("word").alias("kind")))
+        return F.when(run.rlike(SPECIAL), of(run)).otherwise(plain)
+
+    return F.filter(F.flatten(F.transform(runs, fast)), lambda t: t["text"] != "")
 
 
 def standard_terms(text: Column) -> Column:

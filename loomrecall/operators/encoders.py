@@ -187,14 +187,15 @@ def encode(vector: Column, encoder: Projection | Hadamard) -> Column:
 
     @F.pandas_udf("array<bigint>")
     def words(v: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(v), dtype=object)
-        some = v.notna().to_numpy()
-        if some.any():
-            x = np.stack(v[some].to_numpy()).astype(np.float32)
+        out: list = [None] * len(v)
+        some = np.flatnonzero(v.notna())
+        if len(some):
+            x = np.stack(v.to_numpy()[some]).astype(np.float32)
             if x.shape[1] != dim or not np.isfinite(x).all():
                 raise ValueError("vectors must be finite and of the encoder's dimension")
-            out[some] = list(pack(encoder.flags(x)))
-        return out
+            for i, w in zip(some.tolist(), pack(encoder.flags(x))):
+                out[i] = w
+        return pd.Series(out, dtype=object)
 
     return words(vector)
 

@@ -17,9 +17,12 @@ def token_table(df: DataFrame, id_column: str, terms: Column) -> DataFrame:
     return df.select(F.col(id_column).alias("id"), terms.alias("terms"))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(id, term, tf, len): one row per document and term; len counts all tokens."""
+def postings(tokens: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, len): one row per document and term; len counts all tokens. Terms that
+    aren't wanted are dropped before the shuffle."""
     long = tokens.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        long = long.join(wanted, "term", "left_semi")
     return long.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
@@ -58,7 +61,7 @@ def bm25(tokens: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
     q = query_terms(queries)
     whole = tokens.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("total"))
     wanted = q.select("term").distinct()
-    post = postings(tokens).join(wanted, "term", "left_semi")
+    post = postings(tokens, wanted)
     post = post.withColumn("df", F.count("*").over(Window.partitionBy("term")))
     if allowed is not None:
         post = post.join(allowed.select("id"), "id", "left_semi")

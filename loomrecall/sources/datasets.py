@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,9 +91,6 @@ def embedding_problems(ids: DataFrame, vectors: DataFrame, dim: int, normalized:
 
 def row_digests(vectors: DataFrame) -> DataFrame:
     """(id, sha256) of each vector's little-endian float32 bytes, in one Arrow pass."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(v: pd.Series) -> pd.Series:
         return v.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, "<f4").tobytes()).hexdigest())
