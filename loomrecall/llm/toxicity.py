@@ -4,9 +4,10 @@ Two zstandard dictionaries are trained: the ordinary one on texts labelled ordin
 the toxic one on the byte runs that set toxic texts apart (chains of 5-grams whose
 share of toxic documents is ``LIFT`` times that of ordinary ones). The toxic side
 compresses with its dictionary laid before the ordinary one as shared background, so
-ordinary words cost the same on both sides and a window of ``WINDOW`` words is shorter
-there only if it holds toxic matter. The distance of a window is ordinary length minus
-toxic length; a document scores the sum of its two largest. The threshold is calibrated
+ordinary words cost the same on both sides and a window of ``WINDOW`` words, one of which
+begins at every ``STEP``-th word, is shorter there only if it holds toxic matter. The
+distance of a window is ordinary length minus toxic length; a document scores the sum of
+its ``LARGEST`` largest distances. The threshold is calibrated
 on labelled documents that took no part in training: the largest caught share minus
 ``PENALTY`` times the lost share of ordinary documents. Every document is scored over
 its whole text.
@@ -34,6 +35,8 @@ from .common import materialize, pick, record_batch, slices
 from .textkit import _SPACE, string_buffer, words_of
 
 WINDOW = 8
+STEP = 2
+LARGEST = 4
 LEVEL = 6
 MIN_MATCH = 6
 GRAM = 5
@@ -43,7 +46,7 @@ TRAIN_DOCS = 3000
 TRAIN_BYTES = 8000
 ORDINARY_BYTES = 32768
 PENALTY = 10.0
-TOP = 40
+TOP = 80
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -127,7 +130,8 @@ class Scorer:
         if len(w.start) == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         place = np.arange(len(w.start)) - w.first[w.row]
-        s = np.flatnonzero(place % WINDOW == 0)
+        left = w.first[w.row + 1] - np.arange(len(w.start))
+        s = np.flatnonzero((place % STEP == 0) & ((place == 0) | (left > WINDOW - STEP)))
         e = np.minimum(s + WINDOW, w.first[w.row[s] + 1]) - 1
         begin = np.maximum(w.start[s] - 1, w.offsets[w.row[s]])
         spans = np.stack([begin, w.end[e] - begin], axis=1).astype(np.uint64)
@@ -143,12 +147,8 @@ class Scorer:
             order = np.lexsort((-gain, row))
             r, g = row[order], np.maximum(gain[order], 0)
             head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            out[r[head]] = g[head]
-            second = head + 1
-            ok = second < len(r)
-            second, first = second[ok], head[ok]
-            same = r[second] == r[first]
-            out[r[first[same]]] += g[second[same]]
+            nth = np.arange(len(r)) - np.repeat(head, np.diff(np.concatenate([head, [len(r)]])))
+            np.add.at(out, r[nth < LARGEST], g[nth < LARGEST])
         return out
 
 
