@@ -173,6 +173,21 @@ def train_itq(x: np.ndarray, bits: int, seed: int = 42, steps: int = 16) -> Proj
     return _finish("itq_rotation", x.shape[1], bits, seed, r.T @ rows, np.zeros(bits), mean)
 
 
+def encode_sparse(features: DataFrame, encoder: Projection) -> DataFrame:
+    """(id, words) from (id, dimension, value) rows: the same bits as for dense vectors. The
+    projection's columns travel with the encoder; features meet in one shuffle by id."""
+    rows, thresholds = encoder.rows.astype(np.float64), encoder.thresholds
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, v = pdf["dimension"].to_numpy(), pdf["value"].to_numpy(float)
+        if len(set(d.tolist())) != len(d) or not np.isfinite(v).all() or (d < 0).any() or (d >= rows.shape[1]).any():
+            raise ValueError("dimensions must be distinct and in range, values finite")
+        flags = (rows[:, d] @ v).astype(np.float32) > thresholds
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "words": [pack(flags[None])[0]]})
+
+    return features.groupBy("id").applyInPandas(one, "id long, words array<bigint>")
+
+
 def pack(flags: np.ndarray) -> np.ndarray:
     """Rows of booleans to rows of int64 words, lowest bit first."""
     words = -(-flags.shape[1] // 64)

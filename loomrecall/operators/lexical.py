@@ -36,6 +36,14 @@ def dictionary(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def token_ids(tokens: DataFrame) -> DataFrame:
+    """(token_id, term, df): ids from 1 in order of first appearance (document, position)."""
+    long = tokens.select("id", F.posexplode("terms").alias("pos", "term"))
+    first = long.groupBy("term").agg(F.min(F.struct("id", "pos")).alias("at"), F.count_distinct("id").alias("df"))
+    ids = F.row_number().over(Window.orderBy("at"))  # one task over the vocabulary
+    return first.select(ids.cast("long").alias("token_id"), "term", "df")
+
+
 def chunk_stats(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", F.size("terms").alias("token_count"), F.size(F.array_distinct("terms")).alias("unique_token_count"))
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import domain
+from ..functions.hashing import hashed_embedding
 from ..functions.text import bow_tokens, char_ngrams, standard_terms, standard_tokens
 from ..functions.vectors import sign_words
 from ..operators import binary, encoders, evaluation, lexical, store, vectors
@@ -81,6 +83,11 @@ def token_dictionary(spark, sf_dir):
     return lexical.dictionary(lexical.postings(_tokens(spark, sf_dir)))
 
 
+@query
+def token_ids(spark, sf_dir):
+    return lexical.token_ids(_tokens(spark, sf_dir))
+
+
 @query
 def postings_positions(spark, sf_dir):
     p = lexical.positional_postings(_tokens(spark, sf_dir))
@@ -297,6 +304,12 @@ def itq_signature(spark, sf_dir):
     return _encoded(spark, sf_dir, lambda v: encoders.train_itq(encoders.training_sample(v), 32))
 
 
+@query
+def hashed_embeddings(spark, sf_dir):
+    d = _t(spark, sf_dir, "benchmark")
+    return d.select("item_id", hashed_embedding(F.col("text"), 64).alias("embedding"))
+
+
 # evaluation
 
 
@@ -347,6 +360,15 @@ def thread_reconstruct(spark, sf_dir):
     return g.select("conv_id", "n_messages", F.md5("body").alias("digest"))
 
 
+@query
+def record_validity(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    kind = F.when(F.col("turn") % 2 == 0, "chunk").otherwise("graph")
+    ok = domain.valid_record(kind, F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") != "user", F.col("text")))
+    role = domain.parse(F.upper("role"), domain.ROLES, "other")
+    return c.groupBy(role.alias("role"), kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("valid"))
+
+
 @query
 def message_validity(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")

@@ -108,7 +108,7 @@ def test_exact_vectors(spark, metric):
 
 
 def test_facade_filters_and_decay(spark):
-    docs = spark.createDataFrame([(1, "agent memory"), (2, "Agent"), (3, "other")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "agent recall"), (2, "Agent"), (3, "other")], "doc_id long, text string")
     tokens = lexical.token_table(docs, "doc_id", F.split("text", " "))
     q = spark.createDataFrame([(1, "Agent"), (2, "  "), (3, None)], "query_id long, text string")
     assert [(r.query_id, r.doc_id) for r in retrieval.retrieve(tokens, docs, q).collect()] == [(1, 2)]
