@@ -165,8 +165,8 @@ UNION ALL SELECT 'judged query has no positive', id FROM q WHERE NOT (id = 'src0
     "record_validity": """SELECT role, CASE WHEN turn % 2 = 0 THEN 'chunk' ELSE 'graph' END AS kind, count(*) AS n,
 sum(CASE WHEN length(text) > 0 AND ((turn % 2 = 0) = (role = 'user')) THEN 1 ELSE 0 END)::BIGINT AS valid FROM conversations GROUP BY ALL""",
     "token_ids": f"""WITH p AS (SELECT doc_id, unnest({_BOW}) AS term, generate_subscripts({_BOW}, 1) AS pos FROM documents),
-f AS (SELECT term, min((doc_id, pos)) AS at, count(DISTINCT doc_id) AS df FROM p GROUP BY term)
-SELECT row_number() OVER (ORDER BY at) AS token_id, term, df FROM f""",
+f AS (SELECT term, min((doc_id, pos)) AS seen, count(DISTINCT doc_id) AS df FROM p GROUP BY term)
+SELECT row_number() OVER (ORDER BY seen) AS token_id, term, df FROM f""",
     "message_validity": """SELECT role, count(*) AS n, sum(CASE WHEN length(trim(text)) > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS valid,
 sum(CASE WHEN role IN ('user', 'assistant', 'system', 'tool', 'other') THEN 1 ELSE 0 END)::BIGINT AS known_role FROM conversations GROUP BY role""",
     "upsert_replace": "SELECT doc_id, CASE WHEN lang = 'fr' THEN 'xx' ELSE lang END AS lang, source, md5(CASE WHEN lang = 'fr' THEN 'new ' || text ELSE text END) AS digest FROM documents",
