@@ -5,17 +5,21 @@ digits and non-ASCII characters, ASCII case folded) and a one-permutation MinHas
 sketch of ``BINS`` 16-bit values. Documents with equal descriptions collapse to the
 smallest doc_id first, so thousands of copies cost one row.
 
-Shards hold signatures that agree on a band of bits; there are ``ROUTES`` bands, chosen
-among the most evenly set bits, and bands grow with the logarithm of the corpus so that
-shards keep their size. A band's documents beyond ``SHARD_ROWS`` are split into several
+Shards hold signatures that agree on a band of bits. Bands widen with the logarithm of
+the corpus, so that shards keep their size, and their number grows with their width: a
+pair at ``RADIUS`` agrees on one of them with ``MEET`` at least, whatever the rows. The
+first bands take the most evenly set bits; once all bits are used, further ones take them
+in another order. ``AUDIT_ALL`` queries are compared with all documents, and bands are
+added until as many of the verified pairs found so share one. A band's documents beyond ``4 * SHARD_ROWS`` are split into several
 shards, to each of which all queries of the band are broadcast. (Broadcasting every
 query to every shard, bands aside, would be quadratic in the corpus.) In each shard a
 navigable small-world graph over Hamming distance is built in batches, and every row is
 a query: a beam search from fixed entry points whose beam doubles while all it holds
 lies within ``RADIUS``, so there is no cap on partners. Each shard audits its recall
 against an exact scan of ``AUDIT`` of its queries; below ``LEAST_RECALL`` all beams are
-doubled and at last the shard is scanned exactly. Near copies meet in several shards, so
-the recall of a pair is above that of a shard.
+doubled and at last the shard is scanned exactly. A pair counts from whichever side it
+was found, and near copies meet in several shards, so the recall of a pair is above that
+of a shard.
 
 Pairs within the radius are verified by the Jaccard estimate of their sketches
 (``LEAST_JACCARD``), shards reduce them to spanning stars, and a global large-star /
@@ -41,10 +45,11 @@ RADIUS = 28
 BITS = 128
 LEAST_JACCARD = 0.65
 BINS = 128
-ROUTES = 6
+MEET = 0.95
 SHARD_ROWS = 8192
 EXACT_ROWS = 256
 AUDIT = 64
+AUDIT_ALL = 512
 LEAST_RECALL = 0.9
 DEGREE = 32
 LONG = 8
@@ -259,8 +264,9 @@ def shard_edges(ids: np.ndarray, sig: np.ndarray, sketch: np.ndarray, member: np
     own[inside] = np.arange(len(inside))
     q, m, _ = shard_pairs(sig, sig[inside], own)
     m = inside[m]
-    keep = (q < m) | ~member[q]
-    q, m = q[keep], m[keep]
+    # a pair found from both sides is verified once
+    pair = np.unique(np.minimum(q, m) * len(ids) + np.maximum(q, m))
+    q, m = pair // len(ids), pair % len(ids)
     ok = np.zeros(len(q), bool)
     for at in range(0, len(q), 1 << 16):
         s = slice(at, at + (1 << 16))
@@ -272,14 +278,80 @@ def shard_edges(ids: np.ndarray, sig: np.ndarray, sketch: np.ndarray, member: np
     return ranked[moved], ranked[root[moved]]
 
 
+def routes_for(bits: int, share: float = MEET) -> int:
+    """Bands of so many bits of which a pair at RADIUS shares one with the given probability."""
+    if bits == 0:
+        return 1
+    same = np.prod([(BITS - RADIUS - j) / (BITS - j) for j in range(bits)])
+    return int(np.ceil(np.log1p(-share) / np.log1p(-same)))
+
+
+def choose_bands(even: list[int], bits: int, routes: int) -> list[list[int]]:
+    """Bits of each band: disjoint ones as long as the bits last, then of another order."""
+    order, out, turn = list(even), [], 0
+    while len(out) < routes:
+        out += [order[at : at + bits] for at in range(0, BITS - bits + 1, max(bits, 1))]
+        turn += 1
+        order = np.random.default_rng(turn).permutation(even).tolist()
+    return out[:routes]
+
+
+def audited_routes(reps: DataFrame, bands: list[list[int]], least: int) -> int:
+    """How many of the bands verified pairs need: the least number, not below ``least``, of
+    which MEET of the pairs of AUDIT_ALL sampled queries with all rows share one."""
+    asked = reps.orderBy(F.xxhash64("i"), "i").limit(AUDIT_ALL).collect()
+    if not asked:
+        return least
+    ids = np.array([r["i"] for r in asked])
+    sig = np.array([(r["s0"], r["s1"]) for r in asked], np.int64).view(np.uint64)
+    sketch = np.stack([np.frombuffer(r["sketch"], np.uint16) for r in asked])
+    masks = np.zeros((len(bands), 2), np.uint64)
+    for r, band in enumerate(bands):
+        for b in band:
+            masks[r, b // 64] |= np.uint64(1) << np.uint64(b % 64)
+    schema = pa.schema([("route", pa.int32()), ("n", pa.int64())])
+
+    def work(batches):
+        seen = np.zeros(len(bands) + 1, np.int64)
+        for t in batches:
+            if not t.num_rows:
+                continue
+            other = np.asarray(t.column(0))
+            s = np.stack([np.asarray(t.column(1)), np.asarray(t.column(2))], axis=1).view(np.uint64)
+            q, m = _exact(sig, s, RADIUS)
+            new = ids[q] != other[m]
+            q, m = q[new], m[new]
+            for at in range(0, len(q), 1 << 14):
+                x, y = q[at : at + (1 << 14)], m[at : at + (1 << 14)]
+                sk = np.frombuffer(b"".join(t.column(3).take(pa.array(y)).to_pylist()), np.uint16).reshape(-1, BINS)
+                ok = jaccard(sketch[x], sk) >= LEAST_JACCARD
+                d = sig[x[ok]] ^ s[y[ok]]
+                shared = np.ones((len(d), len(bands) + 1), bool)  # the last: none
+                shared[:, :-1] = ((d[:, None] & masks[None]) == 0).all(axis=2)
+                seen += np.bincount(shared.argmax(axis=1), minlength=len(seen))
+        yield record_batch(schema, [np.arange(len(seen), dtype=np.int32), seen])
+
+    n = np.zeros(len(bands) + 1, np.int64)
+    for r in reps.select("i", "s0", "s1", "sketch").mapInArrow(work, "route int, n long").groupBy("route").agg(F.sum("n").alias("n")).collect():
+        n[r["route"]] = r["n"]
+    if not n.sum():
+        return least
+    enough = np.flatnonzero(np.cumsum(n[:-1]) >= MEET * n.sum())
+    return max(least, int(enough[0]) + 1) if len(enough) else len(bands) + 1
+
+
 def candidate_edges(reps: DataFrame, rows: int) -> DataFrame:
     """Verified edges (u, v), u > v, between the rows of reps (i, s0, s1, sketch)."""
-    bits = log2_parts(rows, SHARD_ROWS, most=30)
+    bits = log2_parts(rows, 2 * SHARD_ROWS, most=30)
     one = lambda b: F.expr(f"shiftrightunsigned(s{b // 64}, {b % 64}) & 1")
     means = reps.agg(*(F.avg(one(b)).alias(f"b{b}") for b in range(BITS))).first()
     even = sorted(range(BITS), key=lambda b: (round(abs((means[b] or 0.0) - 0.5), 3), b))
-    routes = 1 if bits == 0 else ROUTES
-    bands = [[even[(r * bits + j) % BITS] for j in range(bits)] for r in range(routes)]
+    routes = least = routes_for(bits)
+    if bits:
+        most = 2 * least
+        while (routes := audited_routes(reps, choose_bands(even, bits, most), least)) > most:
+            most *= 2
+    bands = choose_bands(even, bits, routes)
 
     def band(r: int):
         value = F.lit(r).cast("long")
@@ -290,7 +362,7 @@ def candidate_edges(reps: DataFrame, rows: int) -> DataFrame:
     routed = reps.withColumn("bucket", F.explode(F.array(*(band(r) for r in range(routes)))))
     # bucket numbers of different routes differ by the route's number above the bits
     counts = routed.groupBy("bucket").count()
-    parts = counts.select("bucket", F.ceil(F.col("count") / (2 * SHARD_ROWS)).cast("int").alias("parts"))
+    parts = counts.select("bucket", F.ceil(F.col("count") / (4 * SHARD_ROWS)).cast("int").alias("parts"))
     parts = bounded_broadcast(parts, routes << bits, 16)
     placed = (
         routed.join(parts, "bucket")

@@ -109,3 +109,33 @@ def test_components_by_union_find(spark):
     want = {x: find(x) for x in list(parent) if find(x) != x}
     got = {x.i: x.root for x in H.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == want
+
+
+def test_pairs_at_the_radius_meet_in_many_narrow_shards(spark, monkeypatch):
+    monkeypatch.setattr(H, "SHARD_ROWS", 16)
+    r = np.random.default_rng(3)
+    n = 1500
+    bits = r.integers(0, 2, (n, 128), dtype=np.uint8)
+    near = bits.copy()
+    for row in near:
+        row[r.choice(128, H.RADIUS, replace=False)] ^= 1
+    sig = np.packbits(np.concatenate([bits, near]), axis=1, bitorder="little").view(np.int64)
+    sketch = r.integers(0, 1 << 15, (n, H.BINS)).astype(np.uint16)
+    rows = [(i, int(a), int(b), bytearray(sketch[i % n].tobytes())) for i, (a, b) in enumerate(sig)]
+    reps = spark.createDataFrame(rows, "i long, s0 long, s1 long, sketch binary")
+    got = {(e.u, e.v) for e in H.candidate_edges(reps, 2 * n).collect()}
+    assert got <= {(i + n, i) for i in range(n)}
+    assert len(got) >= 0.9 * n
+
+
+def test_bands_grow_with_their_width():
+    r = np.random.default_rng(4)
+    flips = np.zeros((4000, 128), bool)
+    for row in flips:
+        row[r.choice(128, H.RADIUS, replace=False)] = True
+    for bits in (1, 4, 8, 12, 16):
+        bands = H.choose_bands(list(range(128)), bits, H.routes_for(bits))
+        met = np.zeros(len(flips), bool)
+        for band in bands:
+            met |= ~flips[:, band].any(axis=1)
+        assert len({len(b) for b in bands}) == 1 and met.mean() >= 0.93
