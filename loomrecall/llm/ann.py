@@ -4,7 +4,9 @@ Unit vectors pass three rounds of random signs and fast Hadamard transform (a ps
 rotation) and hash to the nearest signed axis. A table's code joins ``n_hashes`` such
 axes, the last of a rotation cut to ``last_dim`` coordinates, so that buckets hold about
 ``BUCKET`` vectors whatever the size of the table. Each vector is stored under its own
-code in ``TABLES`` tables and queries the ``PROBES`` codes that lose least against it.
+code in ``TABLES`` tables and queries the codes that lose least against it: ``PROBES`` at
+least, and as many as ``AUDIT`` sampled vectors need to meet ``RECALL`` of their exact
+neighbours, which are found over the whole table. The number so follows the table.
 Buckets' candidates are scored exactly (cosine, double precision), and each query keeps
 the best ``k`` over all buckets, without a cap on candidates.
 
@@ -34,6 +36,8 @@ PROBES = 32
 BUCKET = 128
 SHARD = 16384
 SEED = 5
+AUDIT = 256
+RECALL = 0.95
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -102,6 +106,60 @@ def _best(q: np.ndarray, m: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     return order[place < k]
 
 
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    x = np.asarray(column.flatten(), np.float32).reshape(len(column), dim).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def enough_probes(v: DataFrame, hasher: Hasher, dim: int, k: int, least: int, space: int) -> int:
+    """Probes, ``least`` at least, with which AUDIT sampled rows of v (i, v) meet RECALL of
+    their k exact neighbours; the sample is compared with all rows."""
+    if least >= space or k < 1:
+        return least
+    asked = v.orderBy(F.xxhash64("i"), "i").limit(AUDIT).collect()
+    ids = np.array([r["i"] for r in asked])
+    x = _unit(pa.array([r["v"] for r in asked], pa.list_(pa.float32())), dim)
+    schema = pa.schema([("q", pa.int32()), ("i", pa.int64()), ("s", pa.float64()), ("v", pa.list_(pa.float32()))])
+
+    def work(batches):
+        have = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            other = np.asarray(b.column(0))
+            s = np.round(x @ _unit(b.column(1), dim).T, 9)
+            q, m = np.nonzero(ids[:, None] != other[None, :])
+            best = _best(q, other[m], s[q, m], k)
+            t = pa.table([pa.array(q[best].astype(np.int32)), pa.array(other[m[best]]), pa.array(s[q[best], m[best]]), b.column(1).take(pa.array(m[best])).cast(pa.list_(pa.float32()))], names=schema.names)
+            t = t if have is None else pa.concat_tables([have, t])
+            have = t.take(pa.array(_best(*(t.column(c).to_numpy() for c in range(3)), k)))
+        if have is not None:
+            yield from have.cast(schema).combine_chunks().to_batches()
+
+    found = v.mapInArrow(work, "q int, i long, s double, v array<float>")
+    order = Window.partitionBy("q").orderBy(F.desc("s"), "i")
+    true = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("q", "v").collect()  # AUDIT * k rows
+    if not true:
+        return least
+    q = np.array([r["q"] for r in true])
+    y = _unit(pa.array([r["v"] for r in true], pa.list_(pa.float32())), dim)
+    own = [hasher.probes(y, t, 1)[:, 0] for t in range(hasher.tables)]
+    n = least
+    while n < space:
+        n = min(space, 2 * n)
+        place = np.full(len(q), n)
+        step = max(1, (1 << 15) // n)
+        for at in range(0, len(x), step):
+            mine = np.flatnonzero((q >= at) & (q < at + step))
+            for t in range(hasher.tables):
+                same = hasher.probes(x[at : at + step], t, n)[q[mine] - at] == own[t][mine, None]
+                place[mine] = np.minimum(place[mine], np.where(same.any(axis=1), same.argmax(axis=1), n))
+        want = np.sort(place)[int(np.ceil(RECALL * len(q))) - 1]
+        if want < n:
+            return max(least, int(want) + 1)
+    return n
+
+
 def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, neighbor_id, rank, cosine): the k nearest others found for every vector."""
     v = vectors.select(vectors[id_column].cast("long").alias("i"), vectors[vector_column].cast("array<float>").alias("v"))
@@ -116,6 +174,8 @@ def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int =
     space = (2 * (1 << max(1, (dim - 1).bit_length()))) ** (hashes - 1) * 2 * last
     groups = min(space, -(-rows // SHARD))
     span = -(-space // groups)
+    sized = v.where(F.size("v") == dim)
+    probes = enough_probes(sized, Hasher(dim, hashes, last, tables), dim, k, probes, space)
 
     def route(batches):
         hasher = Hasher(dim, hashes, last, tables)
@@ -141,7 +201,7 @@ def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int =
                 mine = np.where(own[r] // span == group[begin], own[r], -1)
                 yield record_batch(schema, [group[begin] + t * groups, ids[r], mine, pa.array(lists, pa.binary()), pa.array(packed[r], pa.binary())])
 
-    routed = v.where(F.size("v") == dim).mapInArrow(route, "b long, i long, own long, codes binary, v binary")
+    routed = sized.mapInArrow(route, "b long, i long, own long, codes binary, v binary")
     if groups > 1:
         counts = routed.where("own >= 0").groupBy("b").count().select("b", F.ceil(F.col("count") / (2 * SHARD)).cast("int").alias("shards"))
         # probes of groups that hold nothing end here

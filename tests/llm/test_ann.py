@@ -63,3 +63,15 @@ def test_hadamard_keeps_lengths_and_probes_start_with_the_code():
     own = [int(np.argmax(np.concatenate([a, -a]))) * 8 + int(np.argmax(np.concatenate([b, -b]))) for a, b in zip(*y)]
     p = h.probes(x, 0, 10)
     assert p[:, 0].tolist() == own and all(len(set(row)) == 10 for row in p.tolist())
+
+
+def test_probes_grow_where_codes_are_many(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((2000, 16)).astype(np.float32)
+    hashes, last = A.plan(2000, 16, 4)
+    assert hashes >= 2 and 32 ** (hashes - 1) * 2 * last > 50 * 4
+    got = {}
+    for q in A.nearest(table(spark, list(zip(range(2000), x))), k=10, tables=4, probes=4, bucket=4).collect():
+        got.setdefault(q.query_id, set()).add(q.neighbor_id)
+    want = brute(x.astype(float), list(range(2000)), 10)
+    assert sum(len(got.get(i, set()) & set(want[i])) for i in want) >= 0.9 * 10 * 2000
