@@ -12,7 +12,9 @@ or executors. Within a range, documents fill up to ``OPEN`` open sequences: each
 to the open sequence that it fills best; if it fits none, a new one is opened and, past
 ``OPEN``, the fullest one closed. Documents longer than ``MAX_TOKENS`` are cut into full
 sequences of their own and a rest that is packed like a short document. Lengths are
-whole texts' words plus one separator a document; the counter is a parameter.
+what a counter finds in the whole text plus one separator a document. The counter is a
+parameter: ``token_counts`` (the BPE of operators 2 and 6), which operator 8 and the
+pipeline use, or by default ``word_counts``.
 
 Defined results: null and blank texts have no tokens and aren't packed; null doc_ids
 sort first; repeated rows are packed once each; ties on the curve go by doc_id, then
@@ -21,6 +23,8 @@ length; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, record_batch, slices
 from .textkit import mix64, words_of
+from .tokenstore import VOCABULARY, tokenizer
 
 MAX_TOKENS = 2048
 DIM = 64
@@ -72,6 +77,20 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(20240601).standard_normal((DIM, AXES)) / np.sqrt(AXES)
 
 
+Counter = Callable[[pa.Array], np.ndarray]
+
+
+def word_counts(text: pa.Array) -> np.ndarray:
+    """White-space words of each text."""
+    return np.diff(words_of(text).first)
+
+
+def token_counts(text: pa.Array) -> np.ndarray:
+    """BPE tokens of each text."""
+    t = tokenizer(VOCABULARY)
+    return np.array([0 if x is None else len(t.encode_to_numpy(x, disallowed_special=())) for x in text.to_pylist()], np.int64)
+
+
 def keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hilbert keys and word counts."""
     w = words_of(text, alnum=True)
@@ -86,7 +105,7 @@ def keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hilbert(grid), np.diff(words_of(text).first)
 
 
-def placed(docs: DataFrame) -> DataFrame:
+def placed(docs: DataFrame, counter: Counter = word_counts) -> DataFrame:
     """(i, key, n): id, Hilbert key and length of every document that has words."""
     schema = pa.schema([("i", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
@@ -95,6 +114,8 @@ def placed(docs: DataFrame) -> DataFrame:
             for b in slices(whole, "t"):
                 k, n = keys(b.column(1))
                 some = n > 0
+                if counter is not word_counts:
+                    n = counter(b.column(1))
                 yield record_batch(schema, [b.column(0).filter(pa.array(some)), k[some], n[some] + 1])
 
     src = docs.select(docs["doc_id"].cast("long").alias("i"), docs["text"].alias("t"))
@@ -144,10 +165,10 @@ def splitters(points: DataFrame, rows: int, range_docs: int = RANGE_DOCS) -> Dat
     return chosen.select("key").withColumn("m", number).where("m % 64 = 0").select("key").distinct()
 
 
-def pack(docs: DataFrame, limit: int = MAX_TOKENS, range_docs: int = RANGE_DOCS) -> DataFrame:
+def pack(docs: DataFrame, limit: int = MAX_TOKENS, range_docs: int = RANGE_DOCS, counter: Counter = word_counts) -> DataFrame:
     """Every piece's place: range, sequence (unique within the range), position, document,
     first token and number of tokens, offset in the sequence, Hilbert key."""
-    points = materialize(placed(docs), "points")
+    points = materialize(placed(docs, counter), "points")
     rows = points.count()
     cuts = np.array(sorted(r["key"] for r in splitters(points, rows, range_docs).toLocalIterator()), np.int64)
     schema = pa.schema(

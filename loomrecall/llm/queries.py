@@ -42,7 +42,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), counter=packing.token_counts)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,22 @@ def test_ranges_depend_on_data_alone(spark):
     points = P.placed(df)
     cuts = np.array(sorted(x.key for x in P.splitters(points, 3000, small).collect()), np.int64)
     assert sorted(a, key=str) == brute(rows, 64, cuts)
+
+
+def test_operator_and_pipeline_count_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from loomrecall.llm import queries
+    from loomrecall.llm.tokenstore import VOCABULARY, tokenizer
+
+    rows = [(1, "internationalisation of antidisestablishmentarianism"), (2, "x9" * 6000), (3, " \n"), (4, None), (5, "<|endoftext|> ä 漢字")]
+    df = docs(spark, rows)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    t = tokenizer(VOCABULARY)
+    want = {i: len(t.encode(x, disallowed_special=())) + 1 for i, x in rows if x and x.strip()}
+    assert want[2] > P.MAX_TOKENS
+    for out in (queries.op8_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, df, str(tmp_path))):
+        got = {}
+        for r in out.collect():
+            assert r.offset + r.n_tokens <= P.MAX_TOKENS
+            got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+        assert got == want
