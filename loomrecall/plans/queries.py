@@ -238,13 +238,13 @@ def candidate_coverage(spark, sf_dir):
 @query
 def multiprobe_topk(spark, sf_dir):
     s = _signed(spark, sf_dir)
-    return binary.multiprobe(s, s, DIM, multiplier=8)[0]
+    return binary.multiprobe(s, s, DIM)[0]
 
 
 @query
 def multiprobe_diagnostics(spark, sf_dir):
     s = _signed(spark, sf_dir)
-    return binary.multiprobe(s, s, DIM, multiplier=8)[1]
+    return binary.multiprobe(s, s, DIM)[1]
 
 
 @query
