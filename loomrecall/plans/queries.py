@@ -319,7 +319,7 @@ def evaluate_run(spark, sf_dir):
     asked = v.select(F.col("id").alias("query_id"), F.lit(evaluation.JUDGED).alias("answer_mode"))
     a, b = v.select(F.col("id").alias("query_id"), "grp"), v.select(F.col("id").alias("item_id"), "grp")
     qrels = a.join(b, "grp").where("query_id <> item_id").select("query_id", "item_id", F.lit(1).alias("grade"))
-    hits = vectors.exact_topk(v, v, drop_self=True).withColumnRenamed("doc_id", "item_id")
+    hits = vectors.exact_topk(v, v, k=50, drop_self=True).withColumnRenamed("doc_id", "item_id")
     m = evaluation.evaluate(asked, qrels, hits)
     return m.select("judged", *(F.round(c, 6).alias(c) for c in m.columns if c != "judged"))
 
