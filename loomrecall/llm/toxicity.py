@@ -1,8 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: the ordinary one on texts labelled ordinary,
-the toxic one on the byte runs that set toxic texts apart (chains of 5-grams whose
-share of toxic documents is ``LIFT`` times that of ordinary ones). The toxic side
+Two zstandard dictionaries are used: the ordinary one is trained on texts labelled
+ordinary; the toxic one isn't trained by zstandard but is a list of the byte runs that
+set toxic texts apart (chains of 5-grams in ``LEAST_DOCS`` toxic documents whose share of
+them is ``LIFT`` times that of ordinary ones; runs seen twice). Both are loaded as raw
+content. The toxic side
 compresses with its dictionary laid before the ordinary one as shared background, so
 ordinary words cost the same on both sides and a window of ``WINDOW`` words, one of which
 begins at every ``STEP``-th word, is shorter there only if it holds toxic matter. The
@@ -14,7 +16,7 @@ its whole text.
 
 The dictionaries are fitted on a bounded sample: the ``TRAIN_DOCS`` labelled documents
 of either class with the smallest hash of doc_id, in the half of the hash space set
-aside for training. Calibration uses all labelled documents of the other half.
+aside for training; their texts are read whole. Calibration uses all labelled documents of the other half.
 
 Defined results: a null or blank text scores 0 and is never toxic; without labels, or
 without a toxic example, nothing is toxic; contradictory or null labels are left out;
@@ -43,7 +45,6 @@ GRAM = 5
 LIFT = 20.0
 LEAST_DOCS = 5
 TRAIN_DOCS = 3000
-TRAIN_BYTES = 8000
 ORDINARY_BYTES = 32768
 PENALTY = 10.0
 TOP = 80
@@ -102,7 +103,7 @@ def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
                 e = at_[j] + GRAM
             runs[b[a:e]] += 1
             j += 1
-    samples = [b" ".join(t.lower().encode().split())[:TRAIN_BYTES] for t in ordinary]
+    samples = [b" ".join(t.lower().encode().split()) for t in ordinary]
     try:
         base = zs.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except zs.ZstdError:  # too few samples to train on: their end serves as content
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes] | None:
     )
     text = docs.select(docs["doc_id"].cast("long").alias("i"), docs["text"].alias("t")).where("length(trim(t)) > 0")
     # 2 * TRAIN_DOCS ids at most: a broadcast of fixed size
-    rows = text.join(F.broadcast(chosen), "i").groupBy("i", "x").agg(F.min(F.substring("t", 1, 4 * TRAIN_BYTES)).alias("t")).orderBy("x", "i")
+    rows = text.join(F.broadcast(chosen), "i").groupBy("i", "x").agg(F.min("t").alias("t")).orderBy("x", "i")
     toxic, ordinary = [], []
     for r in rows.toLocalIterator():
         (toxic if r["x"] else ordinary).append(r["t"])

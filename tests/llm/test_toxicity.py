@@ -50,3 +50,15 @@ def test_nothing_to_learn(spark):
         assert T.toxic_documents(df, lab).count() == 0
         assert T.drop_toxic(df, lab).count() == 2
     assert T.toxic_documents(docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_training_reads_whole_texts(spark):
+    rows, labels = [], []
+    for d in range(240):
+        w = words(9000, d)  # over 32,000 characters before what is toxic
+        toxic = d % 3 == 0
+        rows.append((d, " ".join(w + (BAD * 3 if toxic else []))))
+        labels.append((d, int(toxic)))
+    assert min(len(t) for _, t in rows) > 32_000
+    base, hot = T.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert b"blorghead" in hot
