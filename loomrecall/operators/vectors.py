@@ -108,3 +108,36 @@ def object_max(scores: DataFrame, owner: DataFrame, k: int = 10) -> DataFrame:
     """Best chunk score of each object: scores (query_id, doc_id, score), owner (doc_id, object_id)."""
     best = scores.join(owner, "doc_id").groupBy("query_id", "object_id").agg(F.max("score").alias("score"))
     return top_k(best, k, id_column="object_id").select("query_id", "object_id", "rank", "score")
+
+
+def object_topk(records: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """(query_id, object_id, rank, score): the k objects whose best chunk scores highest, over
+    all chunks. records (id, vector, grp), where grp is the chunk's object; queries (id, vector)."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    n_d, n_q = records.count(), queries.count()
+    nd, nq = max(-(-n_d // RECORDS), min(8, -(-n_d // 256)), 1), max(-(-n_q // QUERIES), 1)
+    kind = records.schema["grp"].dataType
+    d = blocks(records.select("id", F.col("vector").cast("array<double>").alias("v"), "grp", F.lit(True).alias("stored")), "db", nd, nq)
+    q = blocks(queries.select("id", F.col("vector").cast("array<double>").alias("v"), F.lit(None).cast(kind).alias("grp"), F.lit(False).alias("stored")), "qb", nq, nd)
+
+    def work(t: pa.Table) -> pa.Table:
+        stored, ids = t.column("stored").to_numpy(), t.column("id").to_numpy()
+        x = np.asarray(t.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
+        d_, q_ = np.flatnonzero(stored), np.flatnonzero(~stored)
+        owner = t.column("grp").combine_chunks().take(pa.array(d_)).dictionary_encode(null_encoding="encode")
+        code = np.asarray(owner.indices)
+        by = np.argsort(code, kind="stable")
+        d_, begin = d_[by], np.searchsorted(code[by], np.arange(len(owner.dictionary)))
+        asked, object_, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for at in range(0, len(q_) if len(d_) else 0, 512):
+            part = q_[at : at + 512]
+            best = np.maximum.reduceat(_scores(x[part], x[d_], metric), begin, axis=1)
+            asked.append(np.repeat(ids[part], len(begin)))
+            object_.append(np.tile(np.arange(len(begin)), len(part)))
+            score.append(best.ravel())
+        return pa.table({"query_id": np.concatenate(asked), "object_id": owner.dictionary.take(pa.array(np.concatenate(object_))), "score": np.concatenate(score)})
+
+    found = d.unionByName(q).groupBy("qb", "db").applyInArrow(work, f"query_id long, object_id {kind.simpleString()}, score double")
+    best = found.groupBy("query_id", "object_id").agg(F.max("score").alias("score"))
+    return top_k(best, k, id_column="object_id").select("query_id", "object_id", "rank", "score")

@@ -203,8 +203,7 @@ def vector_filtered(spark, sf_dir):
 @query
 def object_max_chunk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    hits = vectors.exact_topk(v, v, k=50, metric="dot_product")
-    return vectors.object_max(hits, v.select(F.col("id").alias("doc_id"), F.col("grp").alias("object_id")), k=3)
+    return vectors.object_topk(v, v, k=3, metric="dot_product")
 
 
 # signatures
