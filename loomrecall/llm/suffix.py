@@ -22,9 +22,8 @@ Words are runs of non-white-space; they are compared by 64-bit hashes of their b
 (32 bits each in the segments, together with the anchor's 64 bits).
 
 Defined results: null and short texts have no passages; a passage repeated only within
-one document stays; rows that repeat a doc_id count as one document (the longest text
-stands for it when spans are found, and other rows with the doc_id lose the same word
-positions only if their text is equal, otherwise they stay whole); rows without a
+one document stays; rows that repeat a doc_id count as one document, in each of whose
+different texts passages are found, and a row loses those of its own text; rows without a
 doc_id stay as they are; a document left without words is dropped; empty tables give
 empty results; extra columns stay.
 """
@@ -37,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, slices
+from .common import materialize, record_batch, slices
 from .textkit import Words, ngram_hashes, string_buffer, words_of
 
 MIN_WORDS = 50
@@ -245,10 +244,36 @@ def repeats_of_bucket(lead, k, ids, first, off, words: list[bytes], again: list[
     return spans
 
 
+def _one_text(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One text (i, t) for each i, and (i, h, at, n): hash, first word and number of words of
+    each text that was joined into it. Different texts of one i are joined with a word between
+    them that no other i has, so no window across them is a repeat."""
+    again = texts.groupBy("i").count().where("count > 1").select("i")
+    own = materialize(texts.join(again, "i").groupBy("i").agg(F.array_sort(F.collect_set("t")).alias("ts")), "texts")
+    mark = lambda x, n: F.concat(x, F.lit(" \x01"), F.col("i").cast("string"), F.lit(":"), n.cast("string"))
+    joined = F.when(F.size("ts") == 1, F.col("ts")[0]).otherwise(F.array_join(F.transform("ts", mark), " "))
+    schema = pa.schema([("i", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
+
+    def places(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                n = np.diff(words_of(b.column(1)[r].values).first)
+                at = np.cumsum(n + 1) - n - 1
+                yield record_batch(schema, [np.repeat(np.asarray(b.column(0))[r], len(n)), b.column(2)[r].values, at, n])
+
+    several = own.where("size(ts) > 1").select("i", "ts", F.transform("ts", lambda x: F.xxhash64(x)).alias("hs"))
+    parts = several.mapInArrow(places, "i long, h long, at long, n long")
+    return texts.join(again, "i", "left_anti").unionByName(own.select("i", joined.alias("t"))), parts
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, begin, end, first_doc_id): the word spans [begin, end) of a document whose
-    passages also occur in documents with smaller doc_ids, the smallest of them in first_doc_id."""
-    texts = _texts(docs).groupBy("i").agg(F.max_by("t", F.struct(F.length("t"), "t")).alias("t")) if _repeats_ids(docs) else _texts(docs)
+    """(doc_id, begin, end, first_doc_id, text_hash): the word spans [begin, end) of a document
+    whose passages also occur in documents with smaller doc_ids, the smallest of them in
+    first_doc_id. text_hash (xxhash64) tells which text of a doc_id with several they are in;
+    it is null where the doc_id has one text."""
+    texts, parts = _texts(docs), None
+    if _repeats_ids(docs):
+        texts, parts = _one_text(texts)
     schema = pa.schema([("i", pa.int64()), ("b", pa.int32()), ("e", pa.int32()), ("f", pa.int64())])
 
     def bucket(batches):
@@ -295,7 +320,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         last = np.concatenate([at[1:], [len(i)]]) - 1
         yield record_batch(merged, [i[at], b[at], far[last].astype(np.int32), np.minimum.reduceat(f, at)])
 
-    return spans.repartition("i").mapInArrow(merge, "doc_id long, begin int, end int, first_doc_id long")
+    found = spans.repartition("i").mapInArrow(merge, "doc_id long, begin int, end int, first_doc_id long")
+    if parts is None:
+        return found.withColumn("text_hash", F.lit(None).cast("long"))
+    placed = found.join(parts, found["doc_id"] == parts["i"], "left").where("at is null or (begin >= at and end <= at + n)")
+    here = lambda c: (F.col(c) - F.coalesce("at", F.lit(0))).cast("int").alias(c)
+    return placed.select("doc_id", here("begin"), here("end"), "first_doc_id", F.col("h").alias("text_hash"))
 
 
 def _repeats_ids(docs: DataFrame) -> bool:
@@ -323,10 +353,11 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     changed rows); all columns kept, documents left without words dropped."""
     spans = (
         repeated_passages(docs, min_words)
-        .groupBy(F.col("doc_id").alias("__id"))
+        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
         .agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("__spans"))
     )
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__id"], "left").drop(spans["__id"])
+    same = spans["__hash"].isNull() | (spans["__hash"] == F.xxhash64(docs["text"]))
+    joined = docs.join(spans, (docs["doc_id"].cast("long") == spans["__id"]) & same, "left").drop(spans["__id"], spans["__hash"])
     names = docs.columns
     at = names.index("text")
     chars = names.index("n_chars") if "n_chars" in names else None

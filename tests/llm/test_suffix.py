@@ -105,3 +105,16 @@ def test_multikey_order():
     for i, g in zip(live.tolist(), label.tolist()):
         got.setdefault(g, []).append(i)
     assert sorted(tuple(sorted(v)) for v in got.values()) == want
+
+
+def test_different_texts_under_one_id(spark):
+    p, q = words(60, 11), words(70, 12)
+    a, b = words(90, 21) + p + words(5, 22), words(10, 23) + q + words(200, 24)
+    c = words(30, 25)
+    inside = words(55, 26)  # twice within document 3 only
+    rows = [(1, " ".join(p)), (2, " ".join(q)), (3, " ".join(a + inside)), (3, " ".join(b)), (3, " ".join(c + inside)), (3, " ".join(b)), (4, " ".join(b))]
+    spans = {(r.doc_id, r.begin, r.end, r.first_doc_id) for r in S.repeated_passages(docs(spark, rows)).collect()}
+    assert spans == {(3, 90, 150, 1), (3, 10, 80, 2), (4, 0, 280, 2)}
+    got = sorted((r.doc_id, r.text.split()) for r in S.drop_repeats(docs(spark, rows)).collect())
+    left = b[:10] + b[80:]
+    assert got == sorted([(1, p), (2, q), (3, a[:90] + a[150:] + inside), (3, left), (3, c + inside), (3, left)])
