@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, as the cluster names it; a temporary one only where it is unset."""
+    """Folder that all executors share, as the cluster names it. Where it is unset a temporary
+    folder stands in, on a local master only: elsewhere executors would write to their own disks."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.applicationId not in _local:
         _local[sc.applicationId] = tempfile.mkdtemp(prefix="loomrecall-")
     return _local[sc.applicationId]
