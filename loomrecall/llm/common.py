@@ -2,64 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Most bytes of a table that an operator broadcasts; larger sides are shuffled.
-BROADCAST_BYTES = 8 << 20
-_local: dict[str, str] = {}
+from ..operators.tables import BROADCAST_BYTES, bounded_broadcast, materialize, shared_dir
+__all__ = ["BROADCAST_BYTES", "bounded_broadcast", "log2_parts", "materialize", "pick", "record_batch", "shared_dir", "slices", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, as the cluster names it. Where it is unset a temporary
-    folder stands in, on a local master only: elsewhere executors would write to their own disks."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if sc.applicationId not in _local:
-        _local[sc.applicationId] = tempfile.mkdtemp(prefix="loomrecall-")
-    return _local[sc.applicationId]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there,
-    and the loss of an executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Hint a broadcast only if rows * row_bytes, which the caller counted, is small."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Select columns under private names, so clashing extra columns can't interfere."""
     return df.select(*(df[c].alias(a) for a, c in columns.items()))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part has about ``limit`` bytes in ``column`` (one row at least)."""
+    """Cut a batch so that each part has about ``limit`` bytes in ``column`` (one row at least);
+    a column of numbers holds sizes itself."""
     if batch.num_rows == 0:
         return
     col = batch.column(batch.schema.get_field_index(column))
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(col).fill_null(0), dtype=np.int64))
+    ends = np.cumsum(np.asarray((col if pa.types.is_integer(col.type) else pa.compute.binary_length(col)).fill_null(0), dtype=np.int64))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
