@@ -22,7 +22,7 @@ Words are runs of non-white-space; they are compared by 64-bit hashes of their b
 (32 bits each in the segments, together with the anchor's 64 bits).
 
 Defined results: null and short texts have no passages; a passage repeated only within
-one document stays; rows that repeat a doc_id count as one document, in each of whose
+one document stays; very long texts are searched whole; rows that repeat a doc_id count as one document, in each of whose
 different texts passages are found, and a row loses those of its own text; rows without a
 doc_id stay as they are; a document left without words is dropped; empty tables give
 empty results; extra columns stay.
@@ -54,6 +54,17 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _places_of_min(x: np.ndarray, width: int, block: int = 1 << 24) -> np.ndarray:
+    """Place of the least of every ``width`` neighbours by their upper 40 bits, the first of
+    equal ones. Places are packed below these bits, so long arrays are taken block by block."""
+    out = []
+    for at in range(0, len(x) - width + 1, block - width + 1):
+        part = x[at : at + block]
+        ranked = (part & ~_LOW) | np.arange(len(part), dtype=np.uint64)
+        out.append((_sliding_min(ranked, width) & _LOW).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 def anchored(w: Words, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
     """Runs of windows that share an anchor: row, first window (word number in the text),
     number of windows, anchor's place, its hash, hashes of its first two words. Windows
@@ -78,8 +89,7 @@ def anchored(w: Words, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
         later = np.stack([at, source])[:, source != at]
         at = np.sort(at[first])
     lead = ngram_hashes(h, LEAD)
-    ranked = (lead & ~_LOW) | np.arange(len(lead), dtype=np.uint64)
-    anchor = (_sliding_min(ranked, min_words - LEAD + 1)[at] & _LOW).astype(np.int64)
+    anchor = _places_of_min(lead, min_words - LEAD + 1)[at]
     begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     size = np.diff(np.concatenate([begin, [len(at)]]))
     a, row = anchor[begin], w.row[at[begin]]
