@@ -6,19 +6,21 @@ The corpus is range-partitioned by (key, doc_id) and packed in that order, so do
 that share a sequence are neighbours on the curve. Only ids, keys and lengths are
 shuffled, never texts.
 
-Ranges are cut at splitters: the keys of the documents whose hash falls under a set
+Ranges are cut at splitters: (key, doc_id) of the documents whose hash falls under a set
 share, so where sequences may begin anew depends on the data alone, not on partitions
-or executors. Within a range, documents fill up to ``OPEN`` open sequences: each goes
+or executors, and thousands of copies with one key spread over ranges. Within a range, documents fill up to ``OPEN`` open sequences: each goes
 to the open sequence that it fills best; if it fits none, a new one is opened and, past
 ``OPEN``, the fullest one closed. Documents longer than ``MAX_TOKENS`` are cut into full
 sequences of their own and a rest that is packed like a short document. Lengths are
 what a counter finds in the whole text plus one separator a document. The counter is a
 parameter: ``token_counts`` (the BPE of operators 2 and 6), which operator 8 and the
-pipeline use, or by default ``word_counts``.
+pipeline use, or by default ``word_counts``. ``packed_tokens`` joins the places with a token
+store and gives the sequences' token ids.
 
 Defined results: null and blank texts have no tokens and aren't packed; null doc_ids
 sort first; repeated rows are packed once each; ties on the curve go by doc_id, then
-length; an empty table gives an empty result; extra columns are ignored.
+length; a very long text is counted whole and cut into as many full sequences as it fills; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import numbered
 from .common import materialize, record_batch, slices
 from .textkit import mix64, words_of
 from .tokenstore import VOCABULARY, tokenizer
@@ -41,6 +44,8 @@ AXES = 3
 BITS = 10
 OPEN = 32
 RANGE_DOCS = 50_000
+#: Place of null ids in the order.
+NO_ID = -(1 << 63)
 SCHEMA = "range_id int, sequence_id long, position int, doc_id long, start_token long, n_tokens int, offset int, hilbert_key long"
 
 
@@ -152,25 +157,32 @@ def pack_range(ids: list, key: list[int], n: list[int], limit: int = MAX_TOKENS)
     return out
 
 
-def splitters(points: DataFrame, rows: int, range_docs: int = RANGE_DOCS) -> DataFrame:
-    """Ascending keys that begin a range: of every 64th of a range's documents, chosen by
-    hash, each 64th key."""
-    from pyspark.sql import Window
-
-    if rows <= range_docs:
-        return points.sparkSession.createDataFrame([], "key long")
+def splitters(points: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
+    """(key, i), ascending, at which ranges begin: of every 64th of a range's documents, chosen
+    by hash, each 64th."""
     share = max(1, range_docs // 64)
-    chosen = points.where(F.pmod(F.xxhash64("i", "n"), F.lit(share)) == 0)
-    number = F.row_number().over(Window.orderBy("key"))  # rows/share keys, some thousandths of the table
-    return chosen.select("key").withColumn("m", number).where("m % 64 = 0").select("key").distinct()
+    chosen = points.where(F.pmod(F.xxhash64("i", "n"), F.lit(share)) == 0).select("key", F.coalesce("i", F.lit(NO_ID)).alias("i"))
+    return numbered(chosen, ["key", "i"], "m").where("m % 64 = 0").select("key", "i").distinct()
+
+
+def range_of(cuts: np.ndarray, key: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """How many cuts (rows key, id) are not above (key, i)."""
+    lo, hi = (np.searchsorted(cuts[:, 0], key, side=side) for side in ("left", "right"))
+    out = lo.copy()
+    some = np.flatnonzero(lo < hi)
+    for k in np.unique(key[some]):  # keys of cuts only
+        at = some[key[some] == k]
+        a, z = lo[at[0]], hi[at[0]]
+        out[at] = a + np.searchsorted(cuts[a:z, 1], i[at], side="right")
+    return out
 
 
 def pack(docs: DataFrame, limit: int = MAX_TOKENS, range_docs: int = RANGE_DOCS, counter: Counter = word_counts) -> DataFrame:
     """Every piece's place: range, sequence (unique within the range), position, document,
     first token and number of tokens, offset in the sequence, Hilbert key."""
     points = materialize(placed(docs, counter), "points")
-    rows = points.count()
-    cuts = np.array(sorted(r["key"] for r in splitters(points, rows, range_docs).toLocalIterator()), np.int64)
+    # a cut for some 50,000 documents
+    cuts = np.array(sorted((r["key"], r["i"]) for r in splitters(points, range_docs).toLocalIterator()), np.int64).reshape(-1, 2)
     schema = pa.schema(
         [
             ("range_id", pa.int32()), ("sequence_id", pa.int64()), ("position", pa.int32()), ("doc_id", pa.int64()),
@@ -182,13 +194,16 @@ def pack(docs: DataFrame, limit: int = MAX_TOKENS, range_docs: int = RANGE_DOCS,
         rest = None  # the range that the last batch ended in
         for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            r = np.searchsorted(cuts, t.column("key").to_numpy(), side="right")
+            r = ranges(t)
             whole = int(np.searchsorted(r, r[-1])) if len(r) else 0
             if whole:
                 yield from pieces(t.slice(0, whole), r[:whole])
             rest = t.slice(whole)
         if rest is not None and rest.num_rows:
-            yield from pieces(rest, np.searchsorted(cuts, rest.column("key").to_numpy(), side="right"))
+            yield from pieces(rest, ranges(rest))
+
+    def ranges(t):
+        return range_of(cuts, t.column("key").to_numpy(), t.column("i").fill_null(NO_ID).to_numpy())
 
     def pieces(t, r):
         ids, key, n = (t.column(c).to_pylist() for c in ("i", "key", "n"))
@@ -199,18 +214,23 @@ def pack(docs: DataFrame, limit: int = MAX_TOKENS, range_docs: int = RANGE_DOCS,
             yield record_batch(schema, [np.full(len(got), r[a], np.int32), *(pa.array(v, f.type) for v, f in zip(c, list(schema)[1:]))])
 
     # splitters to hand, Spark's range partitioning would cut elsewhere: ranges are hashed whole
-    number = _range_number(F.col("key"), cuts)
-    by_range = points.withColumn("r", number).repartition("r").sortWithinPartitions("r", "key", "i", "n")
-    return by_range.select("i", "key", "n").mapInArrow(work, SCHEMA)
-
+    @F.pandas_udf("int")
+    def number(k: pd.Series, i: pd.Series) -> pd.Series:
+        return pd.Series(range_of(cuts, k.to_numpy(), i.to_numpy()).astype(np.int32))
 
-def _range_number(key, cuts: np.ndarray):
-    """How many cuts are <= key."""
-    if not len(cuts):
-        return F.lit(0)
+    r = number("key", F.coalesce("i", F.lit(NO_ID))) if len(cuts) else F.lit(0)
+    by_range = points.withColumn("r", r).repartition("r").sortWithinPartitions("r", "key", "i", "n")
+    return by_range.select("i", "key", "n").mapInArrow(work, SCHEMA)
 
-    @F.pandas_udf("int")
-    def number(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="right").astype(np.int32))
 
-    return number(key)
+def packed_tokens(places: DataFrame, tokens: DataFrame, separator: int) -> DataFrame:
+    """(range_id, sequence_id, n_tokens, token_ids): the sequences' ids, a separator after each
+    document. tokens: a token store with one row a doc_id; a sequence is one group of
+    MAX_TOKENS ids at most."""
+    ids = F.concat(F.col("token_ids"), F.array(F.lit(separator)))
+    piece = places.join(tokens.select("doc_id", "token_ids"), "doc_id").select(
+        "range_id", "sequence_id", F.struct("position", F.slice(ids, (F.col("start_token") + 1).cast("int"), F.col("n_tokens")).alias("ids")).alias("p")
+    )
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["ids"]))
+    out = piece.groupBy("range_id", "sequence_id").agg(whole.alias("token_ids"))
+    return out.select("range_id", "sequence_id", F.size("token_ids").alias("n_tokens"), "token_ids")
