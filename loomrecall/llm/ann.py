@@ -4,20 +4,22 @@ Unit vectors pass three rounds of random signs and fast Hadamard transform (a ps
 rotation) and hash to the nearest signed axis. A table's code joins ``n_hashes`` such
 axes, the last of a rotation cut to ``last_dim`` coordinates, so that buckets hold about
 ``BUCKET`` vectors whatever the size of the table. Each vector is stored under its own
-code in ``TABLES`` tables and queries the codes that lose least against it: ``PROBES`` at
-least, and as many as ``AUDIT`` sampled vectors need to meet ``RECALL`` of their exact
-neighbours, which are found over the whole table. The number so follows the table.
+code in ``TABLES`` tables. Queries are the rows whose id is divisible by ``EVERY``; each asks
+for the codes that lose least against it: ``PROBES`` at least, and as many as ``AUDIT``
+sampled vectors need to meet ``RECALL`` of their exact neighbours, which are found over the
+whole table. The number so follows the table.
 Buckets' candidates are scored exactly (cosine, double precision), and each query keeps
 the best ``k`` over all buckets, without a cap on candidates.
 
 Neighbouring codes of a table form groups of about ``SHARD`` vectors, and a query
-travels once to each group it probes, with the list of its codes there. A group that
+travels once to each group it probes, with the list of its codes there; so what is shuffled
+is ``TABLES`` copies of the table and the queries' visits. A group that
 holds more is split into shards, all of which its queries visit, so hot buckets spread
 over tasks and lose nothing.
 
 Defined results: a null, empty, zero or non-finite vector, or one of another length
 than the table's most frequent, is no candidate and has no neighbours; rows without an
-id are left out; rows with the same id are one vector (the largest by value); ties go to
+id are left out; rows with the same id are one vector (the largest by value, also where they differ); ties go to
 the smaller id; fewer than k candidates give fewer rows; extra columns are ignored.
 """
 
@@ -31,11 +33,12 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, materialize, record_batch
 
 K = 10
-TABLES = 8
+TABLES = 4
 PROBES = 32
 BUCKET = 128
 SHARD = 16384
 SEED = 5
+EVERY = 50
 AUDIT = 256
 RECALL = 0.95
 
@@ -160,8 +163,30 @@ def enough_probes(v: DataFrame, hasher: Hasher, dim: int, k: int, least: int, sp
     return n
 
 
-def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(query_id, neighbor_id, rank, cosine): the k nearest others found for every vector."""
+def measured_recall(vectors: DataFrame, found: DataFrame, k: int = K, every: int = EVERY) -> float:
+    """Share of the exact k nearest, over all rows, that ``found`` holds; for tables of vectors of
+    one length that brute force can take."""
+    v = vectors.select(vectors["vec_id"].cast("long").alias("i"), vectors["embedding"].cast("array<double>").alias("v"))
+    q = v.where(F.pmod("i", F.lit(every)) == 0).collect()
+    ids, x = np.array([r["i"] for r in q]), np.array([r["v"] for r in q])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def work(batches):
+        for b in batches:
+            other = np.asarray(b.column(0))
+            s = np.round(x @ _unit(b.column(1), x.shape[1]).T, 9)
+            a, m = np.nonzero(ids[:, None] != other[None, :])
+            best = _best(a, other[m], s[a, m], k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[best]]), pa.array(other[m[best]]), pa.array(s[a[best], m[best]])], names=["query_id", "neighbor_id", "s"])
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "neighbor_id")
+    best = v.mapInArrow(work, "query_id long, neighbor_id long, s double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return best.join(found, ["query_id", "neighbor_id"], "left_semi").count() / max(1, best.count())
+
+
+def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, every: int = EVERY, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """(query_id, neighbor_id, rank, cosine): the k nearest others, of all rows, found for every
+    vector whose id is divisible by ``every`` (1: for every vector)."""
     v = vectors.select(vectors[id_column].cast("long").alias("i"), vectors[vector_column].cast("array<float>").alias("v"))
     v = v.where("i is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) <= 3.4e38)")
     v = materialize(v.groupBy("i").agg(F.max("v").alias("v")).where("exists(v, x -> x <> 0)"), "vectors")
@@ -186,10 +211,14 @@ def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int =
             unit = x.astype(np.float64)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             for t in range(tables):
-                codes = hasher.probes(unit, t, probes)
-                own = codes[:, 0]
+                own = hasher.probes(unit, t, 1)[:, 0]
+                yield record_batch(schema, [own // span + t * groups, ids, own, pa.array([b""] * len(ids), pa.binary()), pa.array(packed, pa.binary())])
+                asks = np.flatnonzero(ids % every == 0)
+                if not len(asks):
+                    continue
+                codes = hasher.probes(unit[asks], t, probes)
                 n = codes.shape[1]
-                row, flat = np.repeat(np.arange(len(ids)), n), codes.ravel()
+                row, flat = np.repeat(np.arange(len(asks)), n), codes.ravel()
                 order = np.lexsort((flat, row))
                 row, flat = row[order], flat[order]
                 group = flat // span
@@ -197,25 +226,29 @@ def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int =
                 edge = np.concatenate([begin, [len(flat)]]) * 8
                 buffer = flat.tobytes()
                 lists = [buffer[a:z] for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
-                r = row[begin]
-                mine = np.where(own[r] // span == group[begin], own[r], -1)
-                yield record_batch(schema, [group[begin] + t * groups, ids[r], mine, pa.array(lists, pa.binary()), pa.array(packed[r], pa.binary())])
+                r = asks[row[begin]]
+                yield record_batch(schema, [group[begin] + t * groups, ids[r], np.full(len(r), -1), pa.array(lists, pa.binary()), pa.array(packed[r], pa.binary())])
 
     routed = sized.mapInArrow(route, "b long, i long, own long, codes binary, v binary")
     if groups > 1:
         counts = routed.where("own >= 0").groupBy("b").count().select("b", F.ceil(F.col("count") / (2 * SHARD)).cast("int").alias("shards"))
         # probes of groups that hold nothing end here
         routed = routed.join(bounded_broadcast(counts, tables * groups, 24), "b")
-        routed = routed.withColumn("home", F.pmod(F.xxhash64("i"), "shards").cast("int"))
-        routed = routed.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        routed = routed.withColumn("own", F.when(F.col("home") == F.col("s"), F.col("own")).otherwise(F.lit(-1).cast("long")))
+        # a stored row goes to one shard of its group, a query to all
+        home = F.pmod(F.xxhash64("i"), "shards").cast("int")
+        every_shard = F.sequence(F.lit(0), F.col("shards") - 1)
+        routed = routed.withColumn("s", F.explode(F.when(F.col("own") >= 0, F.array(home)).otherwise(every_shard)))
     else:
         routed = routed.withColumn("s", F.lit(0))
 
     def score(t: pa.Table) -> pa.Table:
         ids, own = t.column("i").to_numpy(), t.column("own").to_numpy()
-        x = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(len(ids), dim).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(len(ids), dim)
+
+        def unit(rows):
+            y = x[rows].astype(np.float64)
+            return y / np.linalg.norm(y, axis=1, keepdims=True)
+
         lists = t.column("codes").to_pylist()
         code = np.frombuffer(b"".join(lists), np.int64)
         asks = np.repeat(np.arange(len(ids)), [len(c) // 8 for c in lists])
@@ -228,9 +261,10 @@ def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int =
         for c, a, n in zip(values.tolist(), begin.tolist(), size.tolist()):
             m = held[a : a + n]
             ask = asks[np.searchsorted(code, c) : np.searchsorted(code, c, side="right")]
+            stored = unit(m) if len(ask) else None
             for at in range(0, len(ask), 2048):
                 q = ask[at : at + 2048]
-                s = x[q] @ x[m].T
+                s = unit(q) @ stored.T
                 if n > k + 1:  # all that tie with the last are kept
                     edge = np.partition(s, n - k - 1, axis=1)[:, n - k - 1 : n - k]
                     r, col = np.nonzero(s >= edge)
