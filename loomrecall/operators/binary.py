@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import _signed, hamming
-from .vectors import QUERIES, RECORDS, blocks
+from .tables import numbered
+from .vectors import QUERIES, RECORDS, blocks, matrix
 
 
-def hamming_topk(records: DataFrame, queries: DataFrame, k: int = 10, drop_self: bool = False) -> DataFrame:
-    """(query_id, doc_id, rank, distance): every pair is compared, block by block."""
+def hamming_topk(records: DataFrame, queries: DataFrame, k: int = 10, drop_self: bool = False, same: tuple | None = None) -> DataFrame:
+    """(query_id, doc_id, rank, distance): every pair is compared, block by block. same: the
+    encoders' identities of records and queries, which must be compatible."""
+    if same is not None:
+        same[0].require(same[1])
     n_d, n_q = records.count(), queries.count()
     nd, nq = max(-(-n_d // RECORDS), min(8, -(-n_d // 256)), 1), max(-(-n_q // QUERIES), 1)
     d = blocks(records.select("id", "words", F.lit(True).alias("stored")), "db", nd, nq)
@@ -25,7 +29,7 @@ def hamming_topk(records: DataFrame, queries: DataFrame, k: int = 10, drop_self:
 
     def work(t: pa.Table) -> pa.Table:
         stored, ids = t.column("stored").to_numpy(), t.column("id").to_numpy()
-        w = np.asarray(t.column("words").combine_chunks().flatten()).reshape(len(ids), -1)
+        w = matrix(t.column("words").combine_chunks(), "signature")
         d_, q_ = np.flatnonzero(stored), np.flatnonzero(~stored)
         out = [np.zeros((3, 0), np.int64)]
         for at in range(0, len(q_) if len(d_) else 0, 256):
@@ -69,9 +73,13 @@ def _keys(df: DataFrame, tables: int, width: int, bits: int) -> DataFrame:
     return df.select("id", F.explode(each).alias("x")).select("id", "x.t", "x.key")
 
 
-def multiprobe(records: DataFrame, queries: DataFrame, bits: int, k: int = 10, tables: int = 8, width: int = 8, radius: int = 1, multiplier: int = 64, least: int = 128) -> tuple[DataFrame, DataFrame]:
+def multiprobe(records: DataFrame, queries: DataFrame, bits: int, k: int = 10, tables: int = 8, width: int = 8, radius: int = 1, multiplier: int = 64, least: int = 128, allowed: DataFrame | None = None, same: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, diagnostics). Buckets are an equi-join on (table, key), probed in stages of
-    growing radius until enough candidates are found; see ``probed`` and ``visited``."""
+    growing radius until enough candidates are found; see ``probed`` and ``visited``. allowed:
+    (query_id, doc_id) or (doc_id) of the records that pass the filters; the others are visited
+    but are no candidates. same: the encoders' identities, which must be compatible."""
+    if same is not None:
+        same[0].require(same[1])
     if not (tables >= 1 and 1 <= width <= 63 and 0 <= radius <= min(2, width) and multiplier >= 1 and tables * width <= bits):
         raise ValueError("bad multi-probe options")
     masks = [(r, sum(1 << p for p in c)) for r in range(radius + 1) for c in combinations(range(width), r)]
@@ -83,6 +91,9 @@ def multiprobe(records: DataFrame, queries: DataFrame, bits: int, k: int = 10, t
     n = records.count()
     target = min(n, max(least, k * multiplier))
     pairs = met.groupBy("query_id", "doc_id").agg(F.min("r").alias("r"))
+    if allowed is not None:
+        on = [c for c in ("query_id", "doc_id") if c in allowed.columns]
+        pairs = pairs.join(allowed.select(on), on, "left_semi")
     total = F.sum("c").over(Window.partitionBy("query_id").orderBy("r"))
     enough = pairs.groupBy("query_id", "r").agg(F.count("*").alias("c")).withColumn("cum", total)
     enough = enough.groupBy("query_id").agg(F.min(F.when(F.col("cum") >= target, F.col("r"))).alias("stop"))
@@ -131,6 +142,45 @@ def aggregate_signatures(chunks: DataFrame, bits: int, threshold: float = 0.5, )
     )
 
 
+def bit_counts(chunks: DataFrame, bits: int) -> DataFrame:
+    """(object_id, n, counts): the state of an aggregate signature that grows and shrinks."""
+    one = F.lit(1).cast("long")
+    ones = [F.sum(F.call_function("shiftrightunsigned", F.get("words", F.lit(b // 64)), F.lit(b % 64)).bitwiseAND(one)).alias(f"c{b}") for b in range(bits)]
+    return chunks.groupBy("object_id").agg(F.count("*").alias("n"), *ones).select("object_id", "n", F.array(*(F.col(f"c{b}") for b in range(bits))).alias("counts"))
+
+
+def change_counts(state: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """State after members were added and removed (states too). Taking away more than there is,
+    of members or of a bit, is an error; an object without members left stays with zeros."""
+    minus = removed.select("object_id", (-F.col("n")).alias("n"), F.transform("counts", lambda c: -c).alias("counts"))
+    each = state.unionByName(added).unionByName(minus).select("object_id", "n", F.posexplode("counts").alias("bit", "c"))
+    summed = each.groupBy("object_id", "bit").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    back = summed.groupBy("object_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("bit", "c"))).alias("x"), F.min("c").alias("least"))
+    under = F.raise_error(F.concat(F.lit("removal would underflow the aggregate of "), F.col("object_id").cast("string"))).cast("long")
+    n = F.when((F.col("n") < 0) | (F.col("least") < 0), under).otherwise(F.col("n"))
+    return back.select("object_id", n.alias("n"), F.transform("x", lambda x: x["c"]).alias("counts"))
+
+
+def signature_of_counts(state: DataFrame, bits: int, mode: str = "majority", threshold: float = 0.5) -> DataFrame:
+    """(object_id, n, words) of a state: any, all, majority or threshold; zeros without members."""
+    if mode not in ("any", "all", "majority", "threshold") or not 0 < threshold <= 1:
+        raise ValueError("bad aggregation mode or threshold")
+    n = F.col("n")
+    test = {"any": lambda c: c > 0, "all": lambda c: c == n, "majority": lambda c: c * 2 >= n, "threshold": lambda c: c >= F.lit(threshold) * n}[mode]
+    words = []
+    for i in range(-(-bits // 64)):
+        w = F.lit(0).cast("long")
+        for b in range(64 * i, min(bits, 64 * i + 64)):
+            w = w.bitwiseOR(F.when((n > 0) & test(F.get("counts", F.lit(b))), F.lit(_signed(1 << (b % 64))).cast("long")).otherwise(F.lit(0).cast("long")))
+        words.append(w)
+    return state.select("object_id", "n", F.array(*words).alias("words"))
+
+
+def bucket_sizes(records: DataFrame) -> DataFrame:
+    """(size, buckets): how many exact-code buckets hold so many signatures."""
+    return records.groupBy("words").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("buckets"))
+
+
 def bit_health(records: DataFrame, bits: int) -> DataFrame:
     """(bit, occupancy, entropy) of every bit, from one aggregation."""
     one = F.lit(1).cast("long")
@@ -176,7 +226,7 @@ def mean_pair_hamming(records: DataFrame, most: int = 4096) -> DataFrame:
     high = low + 1 + ordinals - before(low)
     spark = records.sparkSession
     pairs = spark.createDataFrame(list(zip(low.tolist(), high.tolist())), "i long, j long")
-    numbered = records.select("words", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("n"))
-    a, b = numbered.select(F.col("n").alias("i"), F.col("words").alias("a")), numbered.select(F.col("n").alias("j"), F.col("words").alias("b"))
+    rows = numbered(records.select("id", "words"), ["id"], "n").withColumn("n", F.col("n") - 1)
+    a, b = rows.select(F.col("n").alias("i"), F.col("words").alias("a")), rows.select(F.col("n").alias("j"), F.col("words").alias("b"))
     joined = F.broadcast(pairs).join(a, "i").join(b, "j")
     return joined.agg(F.count("*").alias("pairs"), F.avg(hamming(F.col("a"), F.col("b"))).alias("mean_distance"))

@@ -91,3 +91,29 @@ def violations(items: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFr
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def run_violations(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(rule, key) of every breach in a run: hits (query_id, item_id, rank, score), where rank is
+    null for all hits of a query or for none."""
+    s = lambda c: F.col(c).cast("string")
+    rule = lambda df, name, key: df.select(F.lit(name).alias("rule"), key.alias("key"))
+    pair = F.concat_ws("/", s("query_id"), s("item_id"))
+    ranked = hits.groupBy("query_id").agg(F.count("rank").alias("ranked"), F.count("*").alias("n"))
+    parts = [
+        rule(hits.join(queries.select("query_id"), "query_id", "left_anti").select("query_id").distinct(), "query unknown", s("query_id")),
+        rule(hits.where("coalesce(length(trim(cast(item_id as string))), 0) = 0"), "item id empty", s("query_id")),
+        rule(hits.where("rank is not null and rank < 1"), "rank not positive", pair),
+        rule(hits.where("rank is not null").groupBy("query_id", "rank").count().where("count > 1"), "rank repeated", F.concat_ws("/", s("query_id"), s("rank"))),
+        rule(ranked.where("ranked > 0 and ranked < n"), "ranks mixed with none", s("query_id")),
+        rule(hits.where("score is null or isnan(score) or abs(score) = double('infinity')"), "score not finite", pair),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def median(samples: DataFrame, column: str) -> DataFrame:
+    """Conventional median: the mean of the two middle values of an even number."""
+    return samples.agg(F.count(column).alias("n"), F.median(column).alias("median"))

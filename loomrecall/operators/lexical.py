@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import bounded_broadcast, materialize, numbered
+
+#: Stands for a document as a whole among its postings; no tokeniser gives it.
+WHOLE = "\0"
 K1, B = 1.5, 0.75
 
 
@@ -20,7 +24,7 @@ def token_table(df: DataFrame, id_column: str, terms: Column) -> DataFrame:
 def postings(tokens: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(id, term, tf, len): one row per document and term; len counts all tokens. Terms that
     aren't wanted are dropped before the shuffle."""
-    long = tokens.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    long = tokens.select("id", F.size("terms").alias("len"), "terms").select("id", "len", F.explode("terms").alias("term"))
     if wanted is not None:
         long = long.join(wanted, "term", "left_semi")
     return long.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
@@ -38,10 +42,9 @@ def dictionary(post: DataFrame) -> DataFrame:
 
 def token_ids(tokens: DataFrame) -> DataFrame:
     """(token_id, term, df): ids from 1 in order of first appearance (document, position)."""
-    long = tokens.select("id", F.posexplode("terms").alias("pos", "term"))
-    first = long.groupBy("term").agg(F.min(F.struct("id", "pos")).alias("at"), F.count_distinct("id").alias("df"))
-    ids = F.row_number().over(Window.orderBy("at"))  # one task over the vocabulary
-    return first.select(ids.cast("long").alias("token_id"), "term", "df")
+    long = tokens.select("id", F.posexplode("terms").alias("pos", "term")).groupBy("term", "id").agg(F.min("pos").alias("pos"))
+    first = long.groupBy("term").agg(F.min(F.struct("id", "pos")).alias("at"), F.count("*").alias("df"))
+    return numbered(first.select("at.id", "at.pos", "term", "df"), ["id", "pos"], "token_id").select("token_id", "term", "df")
 
 
 def chunk_stats(tokens: DataFrame) -> DataFrame:
@@ -60,22 +63,39 @@ def top_k(scored: DataFrame, k: int, score: str = "score", id_column: str = "doc
     return ranked.withColumn(score, F.round(score, digits) + F.lit(0.0))
 
 
+def asked_postings(tokens: DataFrame, q: DataFrame) -> DataFrame:
+    """(id, term, tf, len) of the terms that queries have and, under ``WHOLE``, of every
+    document; from one tokenisation, kept in the shared folder. Unwanted terms go before anything
+    is shuffled where the queries' vocabulary is small enough to broadcast."""
+    wanted = materialize(q.select("term").distinct().union(tokens.sparkSession.createDataFrame([(WHOLE,)], "term string")).distinct(), "wanted")
+    # what a document has as a whole is computed below the explosion, once
+    each = tokens.select("id", F.size("terms").alias("len"), F.concat("terms", F.array(F.lit(WHOLE))).alias("terms"))
+    long = each.select("id", "len", F.explode("terms").alias("term"))
+    long = long.join(bounded_broadcast(wanted, wanted.count(), 64), "term", "left_semi")
+    return materialize(long.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
+
+
 def bm25(tokens: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rank, score). allowed: ids that may be returned; the corpus
-    statistics are those of all documents all the same. Terms that no query has are
-    dropped before anything is counted; df and length come from one pass over the rest."""
+    statistics are those of all documents all the same. Queries may carry parameters of
+    their own in columns ``k1`` and ``b``; null means the call's. Document frequencies are
+    counted with map-side combine, so a hot term's postings never meet in one task."""
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b within 0..1")
     q = query_terms(queries)
-    whole = tokens.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("total"))
-    wanted = q.select("term").distinct()
-    post = postings(tokens, wanted)
-    post = post.withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    post = asked_postings(tokens, q)
+    whole = post.where(F.col("term") == WHOLE).agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+    post = post.where(F.col("term") != WHOLE)
+    q = q.join(post.groupBy("term").agg(F.count("*").alias("df")), "term")
+    own = {"k1", "b"} <= set(queries.columns)
+    if own:
+        q = q.join(queries.select("query_id", F.coalesce("k1", F.lit(k1)).alias("k1"), F.coalesce("b", F.lit(b)).alias("b")), "query_id")
+    k1_, b_ = (F.col("k1"), F.col("b")) if own else (F.lit(k1), F.lit(b))
     if allowed is not None:
         post = post.join(allowed.select("id"), "id", "left_semi")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / (F.col("total") / F.col("n")))
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / norm
+    norm = F.col("tf") + k1_ * (1 - b_ + b_ * F.col("len") / (F.col("total") / F.col("n")))
+    part = F.col("qtf") * idf * F.col("tf") * (k1_ + 1) / norm
     scored = (
         post.join(q, "term")
         .crossJoin(F.broadcast(whole))  # one row
@@ -86,6 +106,64 @@ def bm25(tokens: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
     return top_k(scored, k).select("query_id", "doc_id", "rank", "score")
 
 
+def bm25f(fields: dict[str, tuple[DataFrame, float, float]], queries: DataFrame, k: int = 10, k1: float = K1) -> DataFrame:
+    """BM25 over weighted fields: {name: (tokens, weight, b)}. A term's field frequencies, each
+    divided by its field's length norm and weighted, are added before saturation; documents
+    are counted once in df."""
+    q = query_terms(queries)
+    parts, wholes = [], []
+    for tokens, weight, b in fields.values():
+        post = asked_postings(tokens, q)
+        mean = post.where(F.col("term") == WHOLE).agg(F.avg("len").alias("mean"))
+        wholes.append(post.where(F.col("term") == WHOLE).select("id"))
+        norm = F.when(F.col("mean") > 0, 1 - b + b * F.col("len") / F.col("mean")).otherwise(F.lit(1.0))
+        parts.append(post.where(F.col("term") != WHOLE).crossJoin(F.broadcast(mean)).select("id", "term", (weight * F.col("tf") / norm).alias("w")))
+    union, ids = parts[0], wholes[0]
+    for p, w in zip(parts[1:], wholes[1:]):
+        union, ids = union.unionByName(p), ids.unionByName(w)
+    merged = union.groupBy("id", "term").agg(F.sum("w").alias("w"))
+    n = ids.distinct().agg(F.count("*").alias("n"))
+    q = q.join(merged.groupBy("term").agg(F.count("*").alias("df")), "term")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("qtf") * idf * F.col("w") / (F.lit(k1) + F.col("w"))
+    scored = merged.join(q, "term").crossJoin(F.broadcast(n)).groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum(part).alias("score")).where("score > 0")
+    return top_k(scored, k).select("query_id", "doc_id", "rank", "score")
+
+
+def boolean_matches(tokens: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(query_id, doc_id, n): documents that hold all ``must`` terms, no ``must_not`` term and, if
+    there is no must, one ``should`` term at least; n counts the must and should terms that match.
+    clauses: (query_id, term, clause)."""
+    c = clauses.select("query_id", "term", "clause").distinct()
+    need = c.groupBy("query_id").agg(F.sum(F.when(F.col("clause") == "must", 1).otherwise(0)).alias("musts"))
+    has = tokens.select("id", F.explode(F.array_distinct("terms")).alias("term"))
+    count = lambda kind: F.sum(F.when(F.col("clause") == kind, 1).otherwise(0))
+    found = has.join(c, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(count("must").alias("m"), count("should").alias("s"), count("must_not").alias("x"))
+    found = found.join(need, "query_id").where("x = 0 and m = musts and m + s > 0")
+    return found.select("query_id", "doc_id", (F.col("m") + F.col("s")).alias("n"))
+
+
+def fuzzy_terms(vocabulary: DataFrame, queries: DataFrame, edits: int = 1) -> DataFrame:
+    """(query_id, term, match, distance): vocabulary terms within ``edits`` (1 or 2) of a query's
+    terms. Terms with so many edits share a deletion variant, so an equi-join finds the
+    candidates and the distance verifies them."""
+    if edits not in (1, 2):
+        raise ValueError("edits must be 1 or 2")
+
+    def variants(df: DataFrame) -> DataFrame:
+        out = df.withColumn("v", F.array("term"))
+        drop = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        for _ in range(edits):
+            out = out.withColumn("v", F.array_distinct(F.concat("v", F.flatten(F.transform("v", drop)))))
+        return out.withColumn("v", F.explode("v"))
+
+    asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    left = variants(asked.select("term").distinct())
+    right = variants(vocabulary.select("term").distinct()).withColumnRenamed("term", "match")
+    pairs = left.join(right, "v").select("term", "match").distinct().withColumn("distance", F.levenshtein("term", "match"))
+    return asked.join(pairs.where(F.col("distance") <= edits), "term").select("query_id", "term", "match", "distance")
+
+
 def keyword_overlap(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Number of distinct query terms that a document has."""
     q = query_terms(queries).select("query_id", "term")
@@ -97,10 +175,11 @@ def keyword_overlap(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataF
 def bow_cosine(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Cosine of raw term counts over the corpus vocabulary. Documents that share no term
     score 0 and may fill up a result; queries without a known term have no result."""
-    post = postings(tokens).select("id", "term", "tf")
+    asked = query_terms(queries)
+    # one tokenisation; with map-side combine a document's terms are shuffled once each
+    post = materialize(postings(tokens).select("id", "term", "tf"), "postings")
     norms = post.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    vocabulary = post.select("term").distinct()
-    q = query_terms(queries).join(vocabulary, "term", "left_semi")
+    q = asked.join(post.select("term").distinct(), "term", "left_semi")
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qn"))
     dots = post.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("d"))
     hits = dots.join(norms, "id").join(qn, "query_id").select("query_id", F.col("id").alias("doc_id"), (F.col("d") / (F.col("dn") * F.col("qn"))).alias("score"))

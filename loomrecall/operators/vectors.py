@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,21 @@ RECORDS, QUERIES = 8192, 4096
 METRICS = ("cosine", "dot_product", "euclidean")
 
 
+def matrix(column: pa.Array, what: str = "vector") -> np.ndarray:
+    """Rows of a list column. A null, an empty or non-finite vector and one of another length
+    are errors: they would shift all rows that follow."""
+    if column.null_count:
+        raise ValueError(f"{column.null_count} {what}s are null")
+    sizes = np.asarray(pa.compute.list_value_length(column))
+    if len(sizes) and (sizes.min() != sizes.max() or sizes[0] == 0):
+        raise ValueError(f"{what}s of {sizes.min()} to {sizes.max()} numbers")
+    flat = column.flatten()
+    x = np.asarray(flat)
+    if flat.null_count or (x.dtype.kind == "f" and not np.isfinite(x).all()):
+        raise ValueError(f"a {what} holds a null or non-finite number")
+    return x.reshape(len(column), -1)
+
+
 def _scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     s = q @ d.T
     if metric == "dot_product":
@@ -56,8 +72,7 @@ def exact_topk(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
         empty = pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if stored.all() or not stored.any():
             return empty
-        v = t.column("v").combine_chunks()
-        x = np.asarray(v.flatten()).reshape(len(ids), -1)
+        x = matrix(t.column("v").combine_chunks())
         d_, q_ = np.flatnonzero(stored), np.flatnonzero(~stored)
         if zero_query_empty:
             q_ = q_[(x[q_] ** 2).sum(axis=1) > 0]
@@ -94,13 +109,17 @@ def exact_topk(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
     return top_k(found, k).select("query_id", "doc_id", "rank", "score")
 
 
-def rerank(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine of candidate pairs (query_id, doc_id): k best."""
-    from ..functions.vectors import cosine
+def rerank(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """Exact score of candidate pairs (query_id, doc_id): k best. A candidate or query without a
+    vector is an error."""
+    from ..functions.vectors import cosine, dot, negative_l2
 
+    score = {"cosine": cosine, "dot_product": dot, "euclidean": negative_l2}[metric]
     d = records.select(F.col("id").alias("doc_id"), F.col("vector").alias("dv"))
     q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("qv"))
-    scored = candidates.select("query_id", "doc_id").join(d, "doc_id").join(q, "query_id").withColumn("score", cosine(F.col("qv"), F.col("dv")))
+    joined = candidates.select("query_id", "doc_id").join(d, "doc_id", "left").join(q, "query_id", "left")
+    lost = F.raise_error(F.concat(F.lit("no vector for query "), F.col("query_id").cast("string"), F.lit(", record "), F.col("doc_id").cast("string")))
+    scored = joined.withColumn("score", F.when(F.col("dv").isNull() | F.col("qv").isNull(), lost.cast("double")).otherwise(score(F.col("qv"), F.col("dv"))))
     return top_k(scored, k).select("query_id", "doc_id", "rank", "score")
 
 
@@ -123,7 +142,7 @@ def object_topk(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
 
     def work(t: pa.Table) -> pa.Table:
         stored, ids = t.column("stored").to_numpy(), t.column("id").to_numpy()
-        x = np.asarray(t.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
+        x = matrix(t.column("v").combine_chunks())
         d_, q_ = np.flatnonzero(stored), np.flatnonzero(~stored)
         owner = t.column("grp").combine_chunks().take(pa.array(d_)).dictionary_encode(null_encoding="encode")
         code = np.asarray(owner.indices)

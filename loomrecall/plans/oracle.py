@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions.text import IDENTIFIER, LOWER, NUMBER, RUN, UPPER
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# what the tokeniser must agree with, stated here anew
+_SOLID = r"[:word:]./\\\x{80}-\x{10FFFF}"
+RUN = rf"[{_SOLID}-][{_SOLID}:-]*"
+NUMBER = r"^-?(\d+[.]?\d*|[.]\d+)$"
+IDENTIFIER = r"[-_.:]|[[:lower:]\d][[:upper:]]|[[:upper:]]{2}[[:lower:]]"
 
 _BOW = "list_filter(string_split(regexp_replace(translate(coalesce(text, ''), '{u}', '{l}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) >= 2)".format(u=UPPER, l=LOWER)
 _LOW = f"translate({{}}, '{UPPER}', '{LOWER}')"
@@ -66,7 +71,7 @@ FROM s q CROSS JOIN s d CROSS JOIN (SELECT unnest(range(0, 8))::INT AS t)),
 near AS (SELECT * FROM met WHERE r <= 1),
 pairs AS (SELECT query_id, doc_id, min(r) AS r FROM near GROUP BY ALL),
 cum AS (SELECT query_id, r, sum(count(*)) OVER (PARTITION BY query_id ORDER BY r) AS c FROM pairs GROUP BY query_id, r),
-reach AS (SELECT id AS query_id, coalesce((SELECT min(r) FROM cum WHERE cum.query_id = s.id AND c >= (SELECT least(count(*), 128) FROM s)), 1) AS reach FROM s)"""
+reach AS (SELECT id AS query_id, coalesce((SELECT min(r) FROM cum WHERE cum.query_id = s.id AND c >= (SELECT least(count(*), 640) FROM s)), 1) AS reach FROM s)"""
 
 
 def _word(test: str) -> str:
@@ -113,7 +118,7 @@ u AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part FROM a UNION AL
     "vector_dot_topk": f"WITH {_V} {_ranked(_pairs('list_dot_product(q.e, d.e)'))}",
     "vector_l2_topk": f"WITH {_V} {_ranked(_pairs('-(list_distance(q.e, d.e) ^ 2)'))}",
     "vector_filtered": f"WITH {_V} {_ranked(_pairs(_COS, 'q.id <> d.id AND q.label = d.label'))}",
-    "object_max_chunk": f"""WITH {_V}, hits AS ({_ranked(_pairs('list_dot_product(q.e, d.e)'), 50)})
+    "object_max_chunk": f"""WITH {_V}, hits AS ({_pairs('list_dot_product(q.e, d.e)')})
 {_ranked("SELECT query_id, label AS object_id, max(score) AS score FROM hits JOIN v ON doc_id = id GROUP BY 1, 2", 3, key="object_id")}""",
     "sign_signature": f"WITH {_V}, {_S} SELECT id AS vec_id, w AS signature FROM s",
     "hamming_topk": f"WITH {_V}, {_S} SELECT query_id, doc_id, rank::INTEGER AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM ({_DIST})) WHERE rank <= 10",
@@ -136,12 +141,12 @@ st AS (SELECT n, total, (SELECT min(x) FROM (SELECT unnest(range(greatest(109951
 o AS (SELECT CASE WHEN total <= 4096 THEN k ELSE ((1469598103934665603 % total) + k * stride) % total END AS ord, n FROM st, (SELECT unnest(range(0, 4096)) AS k) WHERE k < total),
 ij AS (SELECT r.n AS i, r.n + 1 + ord - r.n * (2 * o.n - r.n - 1) // 2 AS j FROM o JOIN r ON r.n * (2 * o.n - r.n - 1) // 2 <= ord AND ord < (r.n + 1) * (2 * o.n - r.n - 2) // 2)
 SELECT count(*) AS pairs, round(avg(bit_count(xor(a.w, b.w))), 6) AS mean_distance FROM ij JOIN r a ON a.n = i JOIN r b ON b.n = j""",
-    "evaluate_run": f"""WITH {_V}, {_EXACT}, m AS (SELECT query_id, rank, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS rel FROM exact JOIN v a ON a.id = query_id JOIN v b ON b.id = doc_id),
+    "evaluate_run": f"""WITH {_V}, exact AS ({_ranked(_pairs(_COS, 'q.id <> d.id'), 50)}), m AS (SELECT query_id, rank, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS rel FROM exact JOIN v a ON a.id = query_id JOIN v b ON b.id = doc_id),
 p AS (SELECT id AS query_id, (SELECT count(*) - 1 FROM v x WHERE x.label = v.label) AS pos FROM v),
 i AS (SELECT query_id, pos, (SELECT sum(1 / log2(k + 1)) FROM (SELECT unnest(range(1, 11)) AS k) WHERE k <= pos) AS ideal FROM p),
-f AS (SELECT i.query_id, pos, coalesce(sum(CASE WHEN rank <= 1 THEN rel END), 0) / nullif(pos, 0) AS r1, coalesce(sum(CASE WHEN rank <= 5 THEN rel END), 0) / nullif(pos, 0) AS r5, coalesce(sum(rel), 0) / nullif(pos, 0) AS r10,
-coalesce(sum(rel / log2(rank + 1)), 0) / nullif(ideal, 0) AS nd, coalesce(1.0 / min(CASE WHEN rel = 1 THEN rank END), 0) AS rr FROM i LEFT JOIN m USING (query_id) GROUP BY i.query_id, pos, ideal)
-SELECT count(*) AS judged, round(avg(coalesce(r1, 0)), 6) AS recall_1, round(avg(coalesce(r5, 0)), 6) AS recall_5, round(avg(coalesce(r10, 0)), 6) AS recall_10, round(avg(coalesce(r10, 0)), 6) AS recall_50,
+f AS (SELECT i.query_id, pos, coalesce(sum(CASE WHEN rank <= 1 THEN rel END), 0) / nullif(pos, 0) AS r1, coalesce(sum(CASE WHEN rank <= 5 THEN rel END), 0) / nullif(pos, 0) AS r5, coalesce(sum(CASE WHEN rank <= 10 THEN rel END), 0) / nullif(pos, 0) AS r10, coalesce(sum(rel), 0) / nullif(pos, 0) AS r50,
+coalesce(sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) END), 0) / nullif(ideal, 0) AS nd, coalesce(1.0 / min(CASE WHEN rel = 1 THEN rank END), 0) AS rr FROM i LEFT JOIN m USING (query_id) GROUP BY i.query_id, pos, ideal)
+SELECT count(*) AS judged, round(avg(coalesce(r1, 0)), 6) AS recall_1, round(avg(coalesce(r5, 0)), 6) AS recall_5, round(avg(coalesce(r10, 0)), 6) AS recall_10, round(avg(coalesce(r50, 0)), 6) AS recall_50,
 round(avg(coalesce(nd, 0)), 6) AS ndcg_10, round(avg(rr), 6) AS mrr, 0.0 AS no_answer_accuracy, 0.0 AS empty_result_fraction FROM f""",
     "evaluate_graded": """WITH g AS (SELECT source AS query_id, doc_id, quality * 2 + toxic AS grade FROM documents JOIN labels USING (doc_id)),
 r AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
@@ -175,4 +180,55 @@ sum(CASE WHEN role IN ('user', 'assistant', 'system', 'tool', 'other') THEN 1 EL
     "reindex_resource": """WITH k AS (SELECT source AS resource_id, doc_id AS chunk_id, lang, CASE WHEN source IN ('src1', 'src2') THEN 2 ELSE 1 END AS generation FROM documents WHERE source NOT IN ('src1', 'src2') OR lang = 'en')
 SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY chunk_id) - 1 AS ordinal FROM k""",
     "decay_scores": "SELECT user_id, count(*) AS n, round(sum(value * exp(-((epoch_us(m) - epoch_us(ts)) / 3.6e9) / 24.0)), 4) AS score FROM events CROSS JOIN (SELECT max(ts) AS m FROM events) GROUP BY user_id",
+    "metadata_filtered": "SELECT lang, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') AND lang <> 'fr' GROUP BY lang",
+    "range_tag_filters": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 150000 AND (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%') GROUP BY 1",
+    "revision_match": "SELECT lang, count(*) AS n, sum(CASE WHEN lang = 'fr' THEN 0 ELSE 1 END)::BIGINT AS same FROM documents GROUP BY lang",
+    "unchanged_resources": "SELECT doc_id AS resource_id FROM documents WHERE lang <> 'fr'",
+    "zero_query_empty": f"WITH {_V} {_ranked(_pairs(_COS, 'q.id % 3 <> 0'))}",
+    "fact_object_validity": """SELECT kind, count(*) AS n, sum(CASE WHEN url IS NOT NULL AND length(url) > 0 AND (kind = 'page' OR (length(host) > 0 AND (kind = 'document' OR length(path) > 0))) THEN 1 ELSE 0 END)::BIGINT AS objects,
+sum(CASE WHEN length(host) > 0 AND length(path) > 0 THEN 1 ELSE 0 END)::BIGINT AS facts FROM (SELECT url, CASE page_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'section' ELSE 'page' END AS kind,
+regexp_extract(url, '//([^/]*)', 1) AS host, regexp_extract(url, '//[^/]*/(.+)$', 1) AS path FROM pages) GROUP BY kind""",
+    "phrase_search": f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_BOW}, ' ') || ' ' AS t FROM documents), q AS (SELECT item_id AS query_id, ' ' || array_to_string({_BOW}, ' ') || ' ' AS p FROM benchmark WHERE len({_BOW}) > 0)
+SELECT query_id, doc_id, ((length(t) - length(replace(t, p, ''))) // length(p))::BIGINT AS n FROM q JOIN d ON contains(t, p)""",
+    "embedding_coverage": """SELECT 'missing' AS problem, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT 'unknown', vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'not normalized', vec_id FROM embeddings WHERE abs(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 1) > 0.001""",
+    "json_dataset": "SELECT 'items' AS part, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'queries', count(*), sum(length(text))::BIGINT FROM benchmark UNION ALL SELECT 'qrels', count(*), sum(doc_id)::BIGINT FROM labels",
+    "request_cap": f"WITH {_LEXICAL}, r AS ({_ranked(_OVERLAP, 50)}) SELECT query_id, doc_id AS item_id, rank FROM r WHERE rank <= 1 + query_id % 7",
+    "bm25_per_query": f"""WITH {_LEXICAL} {_ranked(_bm25_scored("(CASE WHEN query_id % 2 = 0 THEN 0.9 ELSE 1.5 END)", "(CASE WHEN query_id % 2 = 0 THEN 0.4 ELSE 0.75 END)"))}""",
+    "bm25f_fields": f"""WITH {_QUERY_TERMS}, f AS (SELECT page_id, 'u' AS f, url AS text FROM pages UNION ALL SELECT page_id, 'h', regexp_replace(html, '<[^>]*>', ' ', 'g') FROM pages),
+t AS (SELECT page_id, f, unnest({_BOW}) AS term FROM f), l AS (SELECT f.page_id, f.f, len({_BOW}) AS len FROM f), a AS (SELECT f, avg(len) AS mean FROM l GROUP BY f),
+w AS (SELECT page_id, term, sum((CASE f WHEN 'u' THEN 2.0 ELSE 1.0 END) * tf / (CASE f WHEN 'u' THEN 0.5 + 0.5 * len / mean ELSE 0.25 + 0.75 * len / mean END)) AS w
+FROM (SELECT page_id, f, term, count(*)::DOUBLE AS tf FROM t GROUP BY ALL) JOIN l USING (page_id, f) JOIN a USING (f) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM w GROUP BY 1), s AS (SELECT query_id, page_id AS doc_id, sum(qtf * ln(1 + ((SELECT count(*) FROM pages) - df + 0.5) / (df + 0.5)) * w / (1.5 + w)) AS score FROM w JOIN qt USING (term) JOIN df USING (term) GROUP BY 1, 2)
+{_ranked("SELECT * FROM s")}""",
+    "boolean_search": f"""WITH {_LEXICAL}, c AS (SELECT query_id, term, CASE length(term) % 5 WHEN 0 THEN 'must' WHEN 1 THEN CASE WHEN length(term) > 10 THEN 'must_not' ELSE 'should' END ELSE 'should' END AS clause FROM qt),
+m AS (SELECT query_id, doc_id, sum((clause = 'must')::INT) AS m, sum((clause = 'should')::INT) AS s, sum((clause = 'must_not')::INT) AS x FROM c JOIN post USING (term) GROUP BY 1, 2)
+SELECT query_id, doc_id, (m + s)::BIGINT AS n FROM m JOIN (SELECT query_id, sum((clause = 'must')::INT) AS musts FROM c GROUP BY 1) USING (query_id) WHERE x = 0 AND m = musts AND m + s > 0""",
+    "fuzzy_vocabulary": f"WITH {_LEXICAL}, v AS (SELECT DISTINCT term AS match FROM dt) SELECT query_id, term, match, levenshtein(term, match)::INTEGER AS distance FROM qt JOIN v ON abs(length(term) - length(match)) <= 1 AND levenshtein(term, match) <= 1",
+    "cooldown": """WITH u AS (SELECT user_id, event_type, max(ts) AS last, max(CASE WHEN value < 1 THEN 1 ELSE 0 END) AS own FROM events GROUP BY 1, 2), n AS (SELECT max(ts) AS now FROM events),
+h AS (SELECT c_custkey AS asker, event_type FROM customer, (SELECT DISTINCT event_type FROM events))
+SELECT asker, h.event_type AS item_id FROM h LEFT JOIN u ON asker = user_id AND h.event_type = u.event_type CROSS JOIN n WHERE (last IS NULL OR epoch_us(now) - epoch_us(last) >= 86400000000) AND coalesce(own, 0) = 0""",
+    "graph_expansion": """WITH RECURSIVE e AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents UNION SELECT doc_id // 3, doc_id FROM documents),
+r AS (SELECT doc_id AS seed, doc_id AS node, 0 AS hops FROM documents WHERE lang = 'fr' UNION SELECT seed, dst, hops + 1 FROM r JOIN e ON node = src WHERE hops < 3)
+SELECT seed, node, min(hops)::INTEGER AS hops FROM r GROUP BY 1, 2""",
+    "bucket_sizes": f"WITH {_V}, {_S} SELECT size, count(*) AS buckets FROM (SELECT count(*) AS size FROM s GROUP BY w) GROUP BY size",
+    "changed_aggregates": f"""WITH {_V}, {_BITS}, c AS (SELECT label, b, sum(CASE WHEN id % 4 <> 1 THEN x ELSE 0 END) AS c, sum((id % 4 <> 1)::INT) AS n FROM bits GROUP BY 1, 2)
+SELECT label, max(n)::BIGINT AS n, {_word("n > 0 AND c * 2 >= n")} AS majority_signature, {_word("n > 0 AND c >= 0.7 * n")} AS threshold_signature FROM c GROUP BY label""",
+    "multiprobe_filtered": f"""WITH {_V}, {_S}, {_PROBE.replace("near AS (SELECT * FROM met WHERE r <= 1),", "near AS (SELECT * FROM met WHERE r <= 1),").replace("pairs AS (SELECT query_id, doc_id, min(r) AS r FROM near GROUP BY ALL)", "pairs AS (SELECT query_id, doc_id, min(r) AS r FROM near JOIN v ON doc_id = id WHERE label % 2 = 0 GROUP BY ALL)")},
+c AS (SELECT query_id, doc_id, bit_count(xor(q.w, d.w))::BIGINT AS distance FROM pairs JOIN reach USING (query_id) JOIN s q ON q.id = query_id JOIN s d ON d.id = doc_id WHERE r <= reach)
+SELECT query_id, doc_id, rank::INTEGER AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM c) WHERE rank <= 10""",
+    "latency_median": "SELECT count(value) AS n, round(median(value), 6) AS median FROM events",
+    "run_violations": """WITH h AS (SELECT CASE WHEN event_type IN (SELECT event_type FROM events WHERE user_id % 2 = 0) THEN user_id ELSE -1 END AS q, event_id AS i, CASE WHEN event_id % 50 = 0 THEN NULL ELSE event_id % 40 END AS rank FROM events)
+SELECT 'rank not positive' AS rule, q || '/' || i AS key FROM h WHERE rank < 1 UNION ALL SELECT 'rank repeated', q || '/' || rank FROM h WHERE rank IS NOT NULL GROUP BY q, rank HAVING count(*) > 1
+UNION ALL SELECT 'ranks mixed with none', q::VARCHAR FROM h GROUP BY q HAVING count(rank) > 0 AND count(rank) < count(*) UNION ALL SELECT DISTINCT 'query unknown', q::VARCHAR FROM h WHERE q NOT IN (SELECT c_custkey FROM customer)""",
+    "hashed_embeddings": """WITH RECURSIVE k AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark),
+f AS (SELECT item_id, 'tok:' || unnest(t) AS f FROM k UNION ALL SELECT item_id, 'tri:' || w[i:i + 2] FROM (SELECT item_id, w, unnest(range(1, length(w) - 1)) AS i FROM (SELECT item_id, unnest(t) AS w FROM k) WHERE length(w) >= 4)
+  UNION ALL SELECT item_id, 'bigram:' || t[i] || '_' || t[i + 1] FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM k)),
+h AS (SELECT item_id, 1 + ln(count(*)) AS w, sha256('external-hash-embedding-32d-v1|' || f) AS h FROM f GROUP BY item_id, f),
+b AS (SELECT item_id, ('0x' || h[1:2])::INT % 32 AS bucket, sum(CASE WHEN ('0x' || h[9:10])::INT % 2 = 1 THEN -w ELSE w END) AS v FROM h GROUP BY 1, 2),
+n AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM b GROUP BY 1)
+SELECT n.item_id, x::INTEGER AS bucket, round(coalesce(v, 0) / norm, 6) + 0.0 AS value FROM n CROSS JOIN (SELECT unnest(range(0, 32)) AS x) LEFT JOIN b ON b.item_id = n.item_id AND bucket = x""",
+    "stored_chunks": """SELECT source AS document_id, doc_id::VARCHAR AS chunk_id, CASE WHEN lang = 'en' AND source = 'src1' THEN 'new' ELSE lang END AS text FROM documents WHERE NOT (source = 'src1' AND lang <> 'en') AND lang <> 'fr'""",
+    "manifest_erasure": """SELECT source AS resource_id, count(*) AS chunks FROM documents WHERE source NOT IN ('src1', 'src3') GROUP BY source""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from ..functions.hashing import hashed_embedding
 from ..functions.text import bow_tokens, char_ngrams, standard_terms, standard_tokens
 from ..functions.vectors import sign_words
 from ..operators import binary, encoders, evaluation, lexical, store, vectors
-from . import oracle, retrieval
+from ..operators.tables import shared_dir
+from ..sources import datasets
+from . import oracle, retrieval, runs
 
 DIM = 64
 _all: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,8 +308,8 @@ def itq_signature(spark, sf_dir):
 
 @query
 def hashed_embeddings(spark, sf_dir):
-    d = _t(spark, sf_dir, "benchmark")
-    return d.select("item_id", hashed_embedding(F.col("text"), 64).alias("embedding"))
+    d = _t(spark, sf_dir, "benchmark").select("item_id", F.posexplode(hashed_embedding(F.col("text"))).alias("bucket", "value"))
+    return d.select("item_id", "bucket", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 # evaluation
@@ -371,8 +374,9 @@ def record_validity(spark, sf_dir):
 @query
 def message_validity(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
-    ok = F.coalesce(F.length(F.trim("text")) > 0, F.lit(False)) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    known = F.coalesce(F.col("role").isin("user", "assistant", "system", "tool", "other"), F.lit(False))
+    thread = F.col("conv_id").cast("string")
+    ok = domain.valid_message(F.concat(thread, F.lit("-"), F.col("turn").cast("string")), thread, F.trim("text"))
+    known = domain.parse(F.col("role"), domain.ROLES).isNotNull()
     return c.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.when(ok, 1).otherwise(0)).alias("valid"), F.sum(F.when(known, 1).otherwise(0)).alias("known_role"))
 
 
@@ -413,3 +417,202 @@ def decay_scores(spark, sf_dir):
     age = (micros("last") - micros("ts")) / 3.6e9
     aged = e.crossJoin(F.broadcast(last)).withColumn("aged", retrieval.decay(F.col("value"), age, 24.0))
     return aged.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("aged"), 4).alias("score"))
+
+
+# filters, revisions, validity
+
+
+@query
+def metadata_filtered(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    metadata = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    one = lambda k, v: F.array(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")))
+    either = retrieval.any_of(retrieval.metadata_filter(metadata, one("source", "src1")), retrieval.metadata_filter(metadata, one("source", "src2")))
+    return d.where(either & ~retrieval.metadata_filter(metadata, one("lang", "fr"))).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query
+def range_tag_filters(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    urgent = retrieval.has_tags(F.split("o_orderpriority", "-"), ["1", "2"], every=False)
+    return o.where(retrieval.in_range(F.col("o_totalprice"), 1000, 150000) & urgent).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+def _revisions(spark, sf_dir):
+    old = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("resource_id"), "lang", F.md5("text").alias("content_hash"), F.lit("p1").alias("pipeline_config_hash"))
+    return old, old.withColumn("content_hash", F.when(F.col("lang") == "fr", F.md5(F.concat("content_hash", F.lit("+")))).otherwise(F.col("content_hash")))
+
+
+@query
+def revision_match(spark, sf_dir):
+    old, new = _revisions(spark, sf_dir)
+    pair = old.select("resource_id", "lang", F.struct("content_hash", "pipeline_config_hash").alias("a")).join(new.select("resource_id", F.struct("content_hash", "pipeline_config_hash").alias("b")), "resource_id")
+    return pair.groupBy("lang").agg(F.count("*").alias("n"), F.sum(domain.same_revision("a", "b").cast("long")).alias("same"))
+
+
+@query
+def unchanged_resources(spark, sf_dir):
+    old, new = _revisions(spark, sf_dir)
+    return store.unchanged(old, new).select("resource_id")
+
+
+@query
+def zero_query_empty(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    q = v.withColumn("vector", F.when(F.col("id") % 3 == 0, F.transform("vector", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("vector")))
+    return vectors.exact_topk(v, q, zero_query_empty=True)
+
+
+@query
+def fact_object_validity(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    kind = F.when(F.col("page_id") % 3 == 0, "document").when(F.col("page_id") % 3 == 1, "section").otherwise("page")
+    host, path = F.regexp_extract("url", "//([^/]*)", 1), F.regexp_extract("url", "//[^/]*/(.+)$", 1)
+    ok, fact = domain.valid_object(kind, F.col("url"), host, path), domain.valid_fact(host, host, path)
+    return p.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("objects"), F.sum(fact.cast("long")).alias("facts"))
+
+
+@query
+def phrase_search(spark, sf_dir):
+    return lexical.phrase_matches(_tokens(spark, sf_dir), _asked(spark, sf_dir))
+
+
+# further lexical search
+
+
+@query
+def bm25_per_query(spark, sf_dir):
+    even = F.col("query_id") % 2 == 0
+    return lexical.bm25(_tokens(spark, sf_dir), _asked(spark, sf_dir).withColumn("k1", F.when(even, 0.9)).withColumn("b", F.when(even, 0.4)))
+
+
+@query
+def bm25f_fields(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    url = lexical.token_table(p, "page_id", bow_tokens(F.col("url")))
+    body = lexical.token_table(p, "page_id", bow_tokens(F.regexp_replace("html", "<[^>]*>", " ")))
+    return lexical.bm25f({"url": (url, 2.0, 0.5), "body": (body, 1.0, 0.75)}, _asked(spark, sf_dir))
+
+
+@query
+def boolean_search(spark, sf_dir):
+    size = F.length("term")
+    clause = F.when(size % 5 == 0, "must").when((size % 5 == 1) & (size > 10), "must_not").otherwise("should")
+    clauses = lexical.query_terms(_asked(spark, sf_dir)).select("query_id", "term", clause.alias("clause"))
+    return lexical.boolean_matches(_tokens(spark, sf_dir), clauses)
+
+
+@query
+def fuzzy_vocabulary(spark, sf_dir):
+    terms = _tokens(spark, sf_dir).select(F.explode("terms").alias("term")).distinct()
+    return lexical.fuzzy_terms(terms, _asked(spark, sf_dir))
+
+
+@query
+def request_cap(spark, sf_dir):
+    items = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", (1 + F.col("item_id") % 7).alias("limit"), F.lit(evaluation.JUDGED).alias("answer_mode"))
+    found = lambda d, q, k: lexical.keyword_overlap(lexical.token_table(d, "item_id", bow_tokens(F.col("text"))), q.select("query_id", bow_tokens(F.col("text")).alias("terms")), k)
+    return runs.run_retriever({"items": items, "queries": asked}, found)
+
+
+@query
+def cooldown(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    uses = e.select(F.col("user_id").alias("asker"), F.col("event_type").alias("item_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") < 1).alias("own"))
+    now = e.agg(F.max(F.col("ts").cast("timestamp")).alias("now"))
+    hits = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asker")).crossJoin(F.broadcast(e.select(F.col("event_type").alias("item_id")).distinct())).crossJoin(F.broadcast(now))
+    return retrieval.cooled_down(hits, uses, F.col("now"), 86400.0).select("asker", "item_id")
+
+
+@query
+def graph_expansion(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    edges = d.select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 2).alias("dst")).union(d.select(F.floor(F.col("doc_id") / 3).alias("src"), F.col("doc_id").alias("dst")))
+    return retrieval.graph_expand(d.where("lang = 'fr'").select(F.col("doc_id").alias("seed")), edges, 3)
+
+
+# further signatures and evaluation
+
+
+@query
+def bucket_sizes(spark, sf_dir):
+    return binary.bucket_sizes(_signed(spark, sf_dir))
+
+
+@query
+def changed_aggregates(spark, sf_dir):
+    s = _signed(spark, sf_dir).select("id", F.col("grp").alias("object_id"), "words")
+    of = lambda test: binary.bit_counts(s.where(test), DIM)
+    state = binary.change_counts(of("id % 4 < 2"), of("id % 4 >= 2"), of("id % 4 = 1"))
+    one = lambda mode, t: binary.signature_of_counts(state, DIM, mode, t).select(F.col("object_id").alias("label"), "n", F.get("words", F.lit(0)).alias(f"{mode}_signature"))
+    return one("majority", 0.5).join(one("threshold", 0.7).drop("n"), "label")
+
+
+@query
+def multiprobe_filtered(spark, sf_dir):
+    s = _signed(spark, sf_dir)
+    return binary.multiprobe(s, s, DIM, allowed=s.where("grp % 2 = 0").select(F.col("id").alias("doc_id")))[0]
+
+
+@query
+def latency_median(spark, sf_dir):
+    m = evaluation.median(_t(spark, sf_dir, "events"), "value")
+    return m.select("n", F.round("median", 6).alias("median"))
+
+
+@query
+def run_violations(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    asked = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
+    known = F.broadcast(e.where("user_id % 2 = 0").select("event_type").distinct().withColumn("known", F.lit(True)))
+    rank = F.when(F.col("event_id") % 50 != 0, F.col("event_id") % 40)
+    hits = e.join(known, "event_type", "left").select(F.when(F.col("known"), F.col("user_id")).otherwise(F.lit(-1)).alias("query_id"), F.col("event_id").alias("item_id"), rank.alias("rank"), F.lit(1.0).alias("score"))
+    return evaluation.run_violations(asked, hits)
+
+
+# sources and stores
+
+
+@query
+def embedding_coverage(spark, sf_dir):
+    ids = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return datasets.embedding_problems(ids, _vectors(spark, sf_dir).select("id", "vector"), DIM)
+
+
+@query
+def json_dataset(spark, sf_dir):
+    """Written as dataset files, read back through the source."""
+    path = f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    d, b, lab = (_t(spark, sf_dir, n) for n in ("documents", "benchmark", "labels"))
+    datasets.write_tables(
+        path, d.select(F.col("doc_id").cast("string").alias("item_id"), F.col("source").alias("title"), "text"),
+        b.select(F.col("item_id").cast("string").alias("query_id"), "text", F.lit(10).alias("limit")),
+        lab.select(F.lit("0").alias("query_id"), F.col("doc_id").cast("string").alias("item_id"), F.col("quality").alias("grade")),
+    )
+    t = datasets.read_tables(spark, path)
+    part = lambda n, c: t[n].agg(F.lit(n).alias("part"), F.count("*").alias("n"), F.sum(c).cast("long").alias("chars"))
+    return part("items", F.length("text")).union(part("queries", F.length("text"))).union(part("qrels", F.col("item_id").cast("long")))
+
+
+@query
+def stored_chunks(spark, sf_dir):
+    """Documents upserted with their chunks, one replaced by a shorter list, chunks erased."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    documents, chunks = store.document_store(spark, path), store.chunk_store(spark, path)
+    d = _t(spark, sf_dir, "documents")
+    head = d.select(F.col("source").alias("document_id"), F.col("source").alias("resource_id")).distinct()
+    rows = d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("ordinal"), F.col("lang").alias("text"))
+    store.replace_document(documents, chunks, head, rows)
+    store.replace_document(documents, chunks, head.where("document_id = 'src1'"), rows.where("document_id = 'src1' and text = 'en'").withColumn("text", F.lit("new")))
+    chunks.erase(rows.where("text = 'fr'").select("chunk_id"))
+    chunks.compact()
+    return store.list_chunks(chunks, documents.read()).select("document_id", "chunk_id", "text")
+
+
+@query
+def manifest_erasure(spark, sf_dir):
+    c = _t(spark, sf_dir, "documents").select(F.col("source").alias("resource_id"), F.col("doc_id").cast("string").alias("chunk_id"))
+    gone = spark.createDataFrame([("src1",), ("src3",), ("none such",)], "resource_id string")
+    left, manifests, _ = store.erase_with_manifest(c, store.manifest(c), gone)
+    return left.join(manifests.where("kind = 'chunk'"), ["resource_id", "chunk_id"], "left_semi").groupBy("resource_id").agg(F.count("*").alias("chunks"))

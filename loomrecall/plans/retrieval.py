@@ -64,3 +64,51 @@ def sliding_chunks(docs: DataFrame, size: int = 1024, overlap: int = 200) -> Dat
     each = w.select("doc_id", "w", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).alias("chunk", "at"))
     part = F.slice("w", F.col("at") + 1, F.lit(size))
     return each.select("doc_id", "chunk", F.size(part).alias("n_words"), F.array_join(part, " ").alias("text"))
+
+
+def any_of(*tests: Column) -> Column:
+    """One of the tests holds; null counts as false."""
+    out = F.lit(False)
+    for t in tests:
+        out = out | F.coalesce(t, F.lit(False))
+    return out
+
+
+def in_range(value: Column, low=None, high=None) -> Column:
+    """low <= value < high, either end open; a null value is outside."""
+    ok = value.isNotNull()
+    if low is not None:
+        ok = ok & (value >= F.lit(low))
+    return ok if high is None else ok & (value < F.lit(high))
+
+
+def has_tags(tags: Column, wanted: list[str], every: bool = True) -> Column:
+    """All, or any, of the wanted tags are among a row's."""
+    have = F.array(*map(F.lit, wanted))
+    hit = F.size(F.array_except(have, tags)) == 0 if every else F.arrays_overlap(tags, have)
+    return F.coalesce(hit, F.lit(False))
+
+
+def cooled_down(hits: DataFrame, uses: DataFrame, now: Column, seconds: float) -> DataFrame:
+    """hits (asker, item_id, ...) without the items that the asker was given within so many
+    seconds before now, and without the asker's own (self-echo): uses (asker, item_id, at,
+    own). Uses are reduced to one row an item first."""
+    last = uses.groupBy("asker", "item_id").agg(F.max("at").alias("__last"), F.max("own").alias("__own"))
+    joined = hits.join(last, ["asker", "item_id"], "left")
+    fresh = F.col("__last").isNull() | (now.cast("double") - F.col("__last").cast("double") >= seconds)
+    return joined.where(fresh & ~F.coalesce("__own", F.lit(False))).select(*hits.columns)
+
+
+def graph_expand(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, hops): nodes within ``depth`` edges of each seed, with the fewest hops.
+    seeds: (seed); edges: (src, dst)."""
+    from ..operators.tables import materialize
+
+    edge = edges.select("src", "dst").distinct()
+    found = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct()
+    front = found
+    for hop in range(1, depth + 1):
+        step = front.join(edge, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
+        front = materialize(step.join(found, ["seed", "node"], "left_anti"), "front")
+        found = found.unionByName(front)
+    return found

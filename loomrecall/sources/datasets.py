@@ -103,3 +103,28 @@ def write_report(metrics: DataFrame, path: str, **sections) -> None:
     report = json.loads(metrics.toJSON().first())
     body = json.dumps({"schema_version": 1, "quality": report} | sections, sort_keys=True)
     metrics.sparkSession.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_tables(path: str, items: DataFrame, queries: DataFrame, qrels: DataFrame) -> None:
+    """A dataset of any size as JSON lines, one folder a table."""
+    for name, df in (("items", items), ("queries", queries), ("qrels", qrels)):
+        df.write.json(f"{path}/{name}")
+
+
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a dataset written as JSON lines; a line that doesn't fit is an error."""
+    schemas = {
+        "items": "item_id string, title string, text string, metadata map<string,string>",
+        "queries": f"query_id string, text string, query_type string, limit long, filters {_FILTERS}, answer_mode string",
+        "qrels": "query_id string, item_id string, grade long",
+    }
+    t = {n: spark.read.schema(s).option("mode", "FAILFAST").json(f"{path}/{n}") for n, s in schemas.items()}
+    q = t["queries"].withColumn("filters", F.coalesce("filters", F.expr(f"cast(array() as {_FILTERS})")))
+    return t | {"queries": q.withColumn("answer_mode", F.coalesce("answer_mode", F.lit("JudgedRetrieval")))}
+
+
+def write_text_report(metrics: DataFrame, path: str, title: str) -> None:
+    """One-row metrics as a text report: a title, then a line for each figure."""
+    row = metrics.first().asDict()
+    lines = [title, "=" * len(title), *(f"{k}: {v}" for k, v in sorted(row.items()))]
+    metrics.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
