@@ -87,3 +87,18 @@ def test_incremental_index(spark, tmp_path):
     assert [r.k for r in incremental.current(log, "k").collect()] == [2]
     e = spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'x' event_type, 1.0D value")
     assert incremental.windowed_counts(e).first().n == 1
+
+
+def test_groups_judge_as_listed_pairs_do(spark):
+    """Positives by group give the metrics of the pairs written out, also for lone and null groups."""
+    from pyspark.sql import functions as F
+
+    from loomrecall.operators import evaluation
+
+    members = spark.createDataFrame([(i, None if i == 0 else i % 4 if i < 40 else i) for i in range(44)], "id long, grp int")
+    asked = members.select(F.col("id").alias("query_id"), F.lit(evaluation.JUDGED).alias("answer_mode"))
+    hits = asked.selectExpr("query_id", "explode(sequence(1, 12)) as rank").selectExpr("query_id", "(query_id * 7 + rank * rank) % 44 as item_id", "rank")
+    a, b = members.selectExpr("id as query_id", "grp"), members.selectExpr("id as item_id", "grp")
+    qrels = a.join(b, "grp").where("query_id <> item_id").select("query_id", "item_id", F.lit(1).alias("grade"))
+    rounded = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    assert rounded(evaluation.per_query_in_groups(asked, members, hits)) == rounded(evaluation.per_query(asked, qrels, hits))

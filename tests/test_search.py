@@ -121,3 +121,21 @@ def test_facade_filters_and_decay(spark):
     long = spark.createDataFrame([(1, " ".join(map(str, range(25)))), (2, "a"), (3, None)], "doc_id long, text string")
     c = retrieval.sliding_chunks(long, 10, 3).orderBy("doc_id", "chunk").collect()
     assert [(x.doc_id, x.chunk, x.text.split()[0], x.n_words) for x in c] == [(1, 0, "0", 10), (1, 1, "7", 10), (1, 2, "14", 10), (1, 3, "21", 4), (2, 0, "a", 1)]
+
+
+def test_scan_ties_zeros_and_null_groups(spark):
+    """Copies and zero vectors tie across tiles and go by id; a null group is no one's; huge and tiny
+    vectors pass the single-precision sieve."""
+    x = np.zeros((900, 4))
+    x[::3] = [1, 2, 3, 4]
+    x[1::3] = np.random.default_rng(1).standard_normal((300, 4)) * 10.0 ** np.random.default_rng(2).integers(-30, 30, (300, 1))
+    df = spark.createDataFrame([(i, v.tolist(), None if i % 9 == 0 else i % 2) for i, v in enumerate(x)], "id long, vector array<double>, grp int")
+    n = np.sqrt((x**2).sum(1))
+    s = np.divide(x @ x.T, n[:, None] * n[None], out=np.zeros((900, 900)), where=n[:, None] * n[None] > 0)
+    got = {}
+    for r in vectors.exact_topk(df, df, 6).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.doc_id
+    for i in range(900):
+        assert [got[i][k] for k in range(1, 7)] == sorted(range(900), key=lambda j: (-round(s[i, j], 9), j))[:6]
+    grouped = vectors.exact_topk(df, df, 3, same_group=True).collect()
+    assert grouped and not {r.query_id for r in grouped} & set(range(0, 900, 9)) and all(r.query_id % 2 == r.doc_id % 2 for r in grouped)
