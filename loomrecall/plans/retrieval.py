@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import passthrough_terms
-from ..operators import binary, lexical, vectors
+from ..operators import binary, lexical
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -31,8 +31,8 @@ def retrieve(tokens: DataFrame, texts: DataFrame, queries: DataFrame, k: int = 1
 
 def two_stage(records: DataFrame, queries: DataFrame, k: int = 10, candidates: int = 64, drop_self: bool = False) -> DataFrame:
     """Hamming candidates, then exact cosine; tables have (id, vector, words)."""
-    found = binary.hamming_topk(records, queries, candidates, drop_self)
-    return vectors.rerank(found, records, queries, k)
+    found = binary.hamming_scored(records, queries, candidates, drop_self=drop_self)
+    return lexical.top_k(found, k).select("query_id", "doc_id", "rank", "score")
 
 
 def coverage(exact: DataFrame, candidates: DataFrame) -> DataFrame:

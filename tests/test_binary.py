@@ -124,3 +124,24 @@ def test_health_golden(spark):
     m = binary.mean_pair_hamming(df, 500).first()
     pairs = [(i, j) for i in range(150) for j in range(i + 1, 150)]
     assert m.pairs == 500 and m.mean_distance == pytest.approx(np.mean([(big[i] != big[j]).sum() for i, j in (pairs[o] for o in binary.pair_ordinals(150, 500))]))
+
+
+def test_multiprobe_writes_no_pairs(spark):
+    """Pairs that share a bucket are counted in their blocks; none is shuffled. A filter counts
+    candidates only, by record or by pair."""
+    x = np.random.default_rng(5).standard_normal((3000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(encoders.pack(x > 0))], "id long, words array<bigint>").persist()
+    top = spark.sparkContext._jsc.sc().statusStore()
+    wrote = lambda: top.executorList(False).apply(0).totalShuffleWrite()
+    df.count()
+    before = wrote()
+    rows = binary.multiprobe(df, df, 64)[1].collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10000)
+    assert len(rows) == 3000 and sum(r.visited for r in rows) > 2_000_000 and wrote() - before < 4_000_000
+    some = df.where("id % 2 = 0").select(F.col("id").alias("doc_id"))
+    pairs = df.select(F.col("id").alias("query_id")).where("query_id < 40").crossJoin(some)
+    few = df.where("id < 40")
+    one, two = binary.multiprobe(df, few, 64, allowed=some), binary.multiprobe(df, few, 64, allowed=pairs)
+    for a, b in zip(one, two):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert {r.doc_id % 2 for r in one[0].collect()} == {0}
