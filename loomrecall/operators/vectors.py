@@ -68,11 +68,12 @@ def block_pairs(d: DataFrame, q: DataFrame, nd: int, nq: int):
 
 
 class Best:
-    """k best of each row: higher scores first, then lower columns. Columns come in ascending
-    order, so one that only equals the k-th best is not added."""
+    """k best of each row: higher scores first, then lower columns. If columns come in ascending
+    order, one that only equals the k-th best is not added."""
 
-    def __init__(self, rows: int, k: int):
-        self.rows, self.k = rows, k
+    def __init__(self, rows: int, k: int, ordered: bool = True):
+        self.rows, self.k, self.ordered = rows, k, ordered
+        self.last = np.full(rows, np.iinfo(np.int64).max)
         self.edge = np.full(rows, -np.inf)
         self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         self.new: list[tuple] = []
@@ -80,6 +81,8 @@ class Best:
 
     def add(self, r: np.ndarray, c: np.ndarray, score: np.ndarray, raw: np.ndarray) -> None:
         ok = score > self.edge[r]
+        if not self.ordered:
+            ok |= (score == self.edge[r]) & (c < self.last[r])
         self.new.append((r[ok], c[ok], score[ok], raw[ok]))
         self.waiting += len(self.new[-1][0])
         if 2 * self.waiting >= self.rows * self.k:
@@ -92,7 +95,7 @@ class Best:
         begin = np.searchsorted(r, np.arange(self.rows))
         place = np.arange(len(r)) - begin[r]
         last = order[place == self.k - 1]
-        self.edge[r[place == self.k - 1]] = s[last]
+        self.edge[r[place == self.k - 1]], self.last[r[place == self.k - 1]] = s[last], c[last]
         order = order[place < self.k]
         self.kept, self.new, self.waiting = (r[place < self.k], c[order], s[order], raw[order]), [], 0
 

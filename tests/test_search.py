@@ -139,3 +139,38 @@ def test_scan_ties_zeros_and_null_groups(spark):
         assert [got[i][k] for k in range(1, 7)] == sorted(range(900), key=lambda j: (-round(s[i, j], 9), j))[:6]
     grouped = vectors.exact_topk(df, df, 3, same_group=True).collect()
     assert grouped and not {r.query_id for r in grouped} & set(range(0, 900, 9)) and all(r.query_id % 2 == r.doc_id % 2 for r in grouped)
+
+
+def test_phrases_apart_agree_with_the_sql(spark, tmp_path):
+    """Repeats side by side, overlapping and apart are counted as the query's SQL counts them."""
+    import duckdb
+
+    from loomrecall.plans import oracle, queries
+
+    docs = [(1, "aa bb aa bb aa bb"), (2, "aa aa aa aa"), (3, "aa bb x1 aa bb"), (4, "bb aa"), (5, None)]
+    asked = [(1, "aa bb"), (2, "aa aa"), (3, "aa"), (4, "-")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = rows(queries.queries()["phrase_search"](spark, str(tmp_path)))
+    assert got == sorted(con.execute(oracle.SQL["phrase_search"]).fetchall()) and (1, 1, 2) in got
+
+
+def test_scan_of_documents_agrees_with_the_join(spark, corpus, monkeypatch):
+    """Documents scored where they lie give what the joins give, and shuffle no pairs of document and
+    query; without room for the queries, and with ids that repeat, the joins do the work."""
+    from loomrecall.operators import scan
+
+    _, _, t, q = corpus
+    t = t.unionByName(spark.createDataFrame([(99, []), (98, ["z"] * 5)], "id long, terms array<string>")).repartition(3)
+    q = q.withColumn("k1", F.when(F.col("query_id") == 0, 0.9)).withColumn("b", F.when(F.col("query_id") == 0, 0.2))
+    kind = F.when(F.col("term") == "a", "must").when(F.col("term") == "k", "must_not").otherwise("should")
+    clauses = lexical.query_terms(q).select("query_id", "term", kind.alias("clause"))
+    run = lambda: [rows(f) for f in (lexical.bm25(t, q), lexical.bm25(t, q, 3, allowed=t.where("id % 2 = 0").select("id")), lexical.keyword_overlap(t, q, 5), lexical.bow_cosine(t, q), lexical.boolean_matches(t, clauses))]
+    assert scan.plan(t, lexical.query_terms(q)) is not None and scan.plan(t.union(t), lexical.query_terms(q)) is None
+    scanned = run()
+    monkeypatch.setattr(scan, "ROWS", 1)
+    assert scan.plan(t, lexical.query_terms(q)) is None
+    assert scanned == run() and all(scanned)
