@@ -151,3 +151,26 @@ def every(docs: DataFrame, p: Plan, kind: str, clauses: tuple[str, ...], test) -
                 yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(q)), "doc_id": doc[lo + d], "n": n[d, q].astype(np.int64)})
 
     return docs.mapInArrow(work, f"query_id {kind}, doc_id long, n long")
+
+
+def spans(tokens: DataFrame) -> DataFrame:
+    """(id, term, tf, first, last) of every row's terms, without a shuffle."""
+
+    def work(batches):
+        for batch in batches:
+            row, flat = _lists(batch.column("terms"))
+            n = batch.num_rows
+            pos = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+            every = flat.dictionary_encode()
+            code, size = np.asarray(every.indices), max(len(every.dictionary), 1)
+            order = np.argsort(row * size + code, kind="stable")
+            key = (row * size + code)[order]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool))
+            end = np.append(begin[1:], len(key))[: len(begin)]
+            first, last = order[begin], order[end - 1]
+            out = {"id": batch.column("id").take(pa.array(row[first])), "term": every.dictionary.take(pa.array(code[first])), "tf": end - begin}
+            out |= {"first": pos[first].astype(np.int32), "last": pos[last].astype(np.int32)}
+            yield pa.RecordBatch.from_pydict(out)
+
+    kind = tokens.schema["id"].dataType.simpleString()
+    return tokens.select("id", "terms").mapInArrow(work, f"id {kind}, term string, tf long, first int, last int")

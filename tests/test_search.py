@@ -174,3 +174,12 @@ def test_scan_of_documents_agrees_with_the_join(spark, corpus, monkeypatch):
     monkeypatch.setattr(scan, "ROWS", 1)
     assert scan.plan(t, lexical.query_terms(q)) is None
     assert scanned == run() and all(scanned)
+
+
+def test_term_spans_agree_with_positions(spark, corpus):
+    """First and last positions as of the full lists, also where ids repeat; unique ids aren't shuffled."""
+    _, _, t, _ = corpus
+    for tokens in (t, t.unionByName(t.where("id < 5").select("id", F.reverse("terms").alias("terms")))):
+        want = lexical.positional_postings(tokens).select("id", "term", "tf", F.element_at("positions", 1), F.element_at("positions", -1))
+        assert rows(lexical.term_spans(tokens)) == rows(want)
+    assert "Exchange" not in lexical.term_spans(t)._jdf.queryExecution().executedPlan().toString()
