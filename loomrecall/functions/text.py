@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN = r"[A-Za-z0-9_./\\\x{80}-\x{10FFFF}-][A-Za-z0-9_./\\:\x{80}-\x{10FFFF}-]*"
 PART = r"[_\-.:]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
-NUMBER = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+#: ``$`` would also match before a line separator, which runs may hold.
+NUMBER = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)\z"
 #: Runs without a match are plain words: no separator, digit or camel boundary.
 SPECIAL = r"[_\-./\\:0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]"
 IDENTIFIER = r"[_\-.:]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
@@ -38,7 +39,7 @@ def standard_tokens(text: Column, parts: bool = True) -> Column:
 
     def of(run: Column) -> Column:
         kind = token_kind(run)
-        body = F.when(kind == "number", run).otherwise(F.regexp_replace(run, "[.:]+$", ""))
+        body = F.when(kind == "number", run).otherwise(F.regexp_replace(run, r"[.:]+\z", ""))
         whole = F.array(F.struct(ascii_lower(body).alias("text"), kind.alias("kind")))
         if not parts:
             return whole

@@ -7,16 +7,42 @@ query a partition returns its k best. Callers join term by term instead where ``
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import flat
+
 #: Most rows (query, term) that are sent to every worker; cells and postings scored at once.
 ROWS, CELLS = 200_000, 1 << 21
+#: Bytes of text tokenised at once.
+PIECE = 4 << 20
+
+
+@dataclass
+class Texts:
+    """Documents (id, text) with their tokeniser. Texts are sent to the workers and tokenised there,
+    which costs a small part of making lists of tokens in the JVM and sending those."""
+
+    df: DataFrame
+    terms: Callable[[Column], Column]
+
+    def tokens(self) -> DataFrame:
+        return self.df.select("id", self.terms(F.col("text")).alias("terms"))
+
+
+def token_lists(tokens: DataFrame | Texts) -> DataFrame:
+    """(id, terms)."""
+    return tokens.tokens() if isinstance(tokens, Texts) else tokens
+
+
+def document_ids(tokens: DataFrame | Texts) -> DataFrame:
+    return (tokens.df if isinstance(tokens, Texts) else tokens).select("id")
 
 
 @dataclass
@@ -33,13 +59,14 @@ class Plan:
         return np.searchsorted(self.code, np.arange(len(self.terms) + 1))
 
 
-def plan(tokens: DataFrame, asked: DataFrame) -> Plan | None:
+def plan(tokens: DataFrame | Texts, asked: DataFrame) -> Plan | None:
     """Of asked (query_id, term, ...), or None where it is too large, or where documents can't be
     scored one by one: ids that repeat, or that are no whole numbers."""
-    if tokens.schema["id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+    documents = document_ids(tokens)
+    if documents.schema["id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         return None
     t = asked.limit(ROWS + 1).toArrow()
-    if t.num_rows > ROWS or not tokens.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+    if t.num_rows > ROWS or not documents.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         return None
     # chunks of dictionaries differ, so columns are made one first
     term, query = (t.column(c).combine_chunks().dictionary_encode() for c in ("term", "query_id"))
@@ -57,39 +84,64 @@ def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(column)), sizes), column.flatten()
 
 
-def found(tokens: DataFrame, p: Plan, norms: bool = False) -> DataFrame:
+def _tokens(batch: pa.RecordBatch, cut):
+    """For some rows after others: (first, last, row of each token counted from the first, tokens)."""
+    if cut is None:
+        yield 0, batch.num_rows, *_lists(batch.column("terms"))
+        return
+    raw, at = flat.texts(batch.column("text"))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(int(np.searchsorted(at, at[lo] + PIECE, "right")) - 1, lo + 1)
+        yield lo, hi, *cut(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        lo = hi
+
+
+def found(tokens: DataFrame | Texts, p: Plan, norms: bool = False) -> DataFrame:
     """(id, len, codes, tfs[, sq]): of each document the asked terms; sq sums the squares of all its
     terms' counts."""
-    terms = p.terms
+    cut = flat.tokeniser(tokens.terms) if isinstance(tokens, Texts) else None
+    source = token_lists(tokens).select("id", "terms") if cut is None else tokens.df.select("id", "text")
+    terms = p.terms.cast(pa.large_string())
+    size = max(len(terms), 1)
 
     def work(batches):
         for batch in batches:
-            row, flat = _lists(batch.column("terms"))
-            n = batch.num_rows
-            out = {"id": batch.column("id").cast(pa.int64()), "len": pa.array(np.bincount(row, minlength=n).astype(np.int64))}
-            code = np.asarray(pc.index_in(flat, value_set=terms).fill_null(-1)).astype(np.int64)
-            have = code >= 0
-            key, tf = np.unique(row[have] * max(len(terms), 1) + code[have], return_counts=True)
-            at, code = np.divmod(key, max(len(terms), 1))
-            begin = pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32())
-            out |= {"codes": pa.ListArray.from_arrays(begin, pa.array(code.astype(np.int32))), "tfs": pa.ListArray.from_arrays(begin, pa.array(tf.astype(np.int32)))}
-            if norms:
-                every = flat.dictionary_encode()
-                size = max(len(every.dictionary), 1)
-                key, tf = np.unique(row * size + np.asarray(every.indices), return_counts=True)
-                out["sq"] = pa.array(np.bincount(key // size, weights=tf.astype(float) ** 2, minlength=n))
-            yield pa.RecordBatch.from_pydict(out)
-
-    return tokens.select("id", "terms").mapInArrow(work, "id long, len long, codes array<int>, tfs array<int>" + (", sq double" if norms else ""))
+            for lo, hi, row, words in _tokens(batch, cut):
+                n = hi - lo
+                out = {"id": batch.column("id")[lo:hi].cast(pa.int64()), "len": pa.array(np.bincount(row, minlength=n).astype(np.int64))}
+                if norms:
+                    every = words.dictionary_encode()
+                    code, words = np.asarray(every.indices), every.dictionary
+                    key, tf = np.unique(row * max(len(words), 1) + code, return_counts=True)
+                    out["sq"] = pa.array(np.bincount(key // max(len(words), 1), weights=tf.astype(float) ** 2, minlength=n))
+                asked = np.asarray(pc.index_in(words.cast(pa.large_string()), value_set=terms).fill_null(-1)).astype(np.int64)
+                asked = asked[code] if norms else asked
+                have = asked >= 0
+                key, tf = np.unique(row[have] * size + asked[have], return_counts=True)
+                at, asked = np.divmod(key, size)
+                begin = pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32())
+                out |= {"codes": pa.ListArray.from_arrays(begin, pa.array(asked.astype(np.int32))), "tfs": pa.ListArray.from_arrays(begin, pa.array(tf.astype(np.int32)))}
+                yield pa.RecordBatch.from_pydict({c: out[c] for c in ("id", "len", "codes", "tfs", *(["sq"] if norms else []))})
+
+    return source.mapInArrow(work, "id long, len long, codes array<int>, tfs array<int>" + (", sq double" if norms else ""))
 
 
 def frequencies(docs: DataFrame, p: Plan) -> tuple[np.ndarray, int, int]:
     """Documents of each asked term, documents, and tokens; one row a term and partition is shuffled."""
-    df = np.zeros(len(p.terms), np.int64)
-    for code, n in docs.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*")).collect():
+    size = len(p.terms)
+
+    def work(batches):
+        have = np.zeros(size + 2, np.int64)
+        for batch in batches:
+            have[:size] += np.bincount(np.asarray(_lists(batch.column("codes"))[1]), minlength=size)
+            have[size:] += batch.num_rows, pc.sum(batch.column("len")).as_py() or 0
+        yield pa.RecordBatch.from_pydict({"code": np.flatnonzero(have), "n": have[have > 0]})
+
+    df = np.zeros(size + 2, np.int64)
+    for code, n in docs.select("codes", "len").mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n")).collect():
         df[code] = n
-    n, total = docs.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
-    return df, n, total
+    return df[:size], int(df[size]), int(df[size + 1])
 
 
 def _met(batch: pa.RecordBatch, p: Plan, start: np.ndarray):

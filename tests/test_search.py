@@ -183,3 +183,48 @@ def test_term_spans_agree_with_positions(spark, corpus):
         want = lexical.positional_postings(tokens).select("id", "term", "tf", F.element_at("positions", 1), F.element_at("positions", -1))
         assert rows(lexical.term_spans(tokens)) == rows(want)
     assert "Exchange" not in lexical.term_spans(t)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """documents and benchmark with runs of every kind, a null, blanks and copies; and their SQL engine."""
+    import duckdb
+
+    r = random.Random(7)
+    words = "apple Apple.. don't e-mail camelCase HTTPServer v1.2. 123. 12 -5 --flag src/main.c C:\\x foo_bar a::b ::b 世界 naïve xAB x ... - :".split()
+    docs = [(i, " ".join(r.choices(words, k=r.randint(0, 40))), "s", "en" if i % 2 else "de") for i in range(120)]
+    docs += [(120, None, "s", "en"), (121, "", "s", "de"), (122, docs[5][1], "s", "en")]
+    asked = [(i, " ".join(r.choices(words, k=5))) for i in range(12)]
+    where = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").repartition(3).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").coalesce(1).write.parquet(f"{where}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{where}/{t}.parquet/*.parquet'")
+    return where, con
+
+
+def scanned_once(spark, odd_tables, monkeypatch, name):
+    """Rows of a query that agree with its SQL; it must tokenise once, and no token lists in the JVM."""
+    from loomrecall.operators import scan
+    from loomrecall.plans import oracle, queries
+
+    where, con = odd_tables
+    found, plans = scan.found, []
+
+    def seen(*args, **more):
+        out = found(*args, **more)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(scan, "found", seen)
+    df = queries.queries()[name](spark, where)
+    cur = con.execute(oracle.SQL[name])
+    got = rows(df.select(*(d[0] for d in cur.description)))
+    assert got and got == sorted(cur.fetchall())
+    assert len(plans) == 1 and "regexp" not in plans[0]
+    return df
+
+
+def test_fusion_tokenises_once(spark, odd_tables, monkeypatch):
+    scanned_once(spark, odd_tables, monkeypatch, "rrf_fusion")

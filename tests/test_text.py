@@ -67,3 +67,30 @@ def test_other_tokenizers(spark):
     assert rows[1].b == [] and rows[1].p == []
     grams = spark.createDataFrame([("abcd",), ("ab",)], "t string").select(char_ngrams(F.col("t"), 3).alias("g")).collect()
     assert [g.g for g in grams] == [["abc", "bcd"], ["ab"]]
+
+
+def test_tokenisers_of_bytes_agree_with_the_columns(spark):
+    """Odd runs, nulls, empty texts, texts that meet in the buffer, slices: the same tokens."""
+    import random
+
+    import pyarrow as pa
+
+    from loomrecall.functions import flat, text
+
+    r = random.Random(3)
+    odd = [None, "", "a", "Ab", ":::", "...", "-", "--x", "123.", "123..", "-12.5", "x.:", ".5", "aBC", "ABCd", "3.A", " A", "aB", "1\u0085", "2.\u2028", "x.\u0085"]
+    odd += ["".join(r.choice("aAbBzZ09__..::--//\\  \té世\u0085 \0,k") for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(odd)), "i long, text string")
+    for terms in (text.bow_tokens, text.standard_terms):
+        want = [sorted(x.w) for x in df.select("i", terms(F.col("text")).alias("w")).orderBy("i").collect()]
+        cut = flat.tokeniser(terms)
+        for step in (len(odd), 97):
+            for lo in range(0, len(odd), step):
+                part = odd[lo : lo + step]
+                row, tokens = cut(*flat.texts(pa.array(["left", *part])[1:]))
+                got = [[] for _ in part]
+                for i, t in zip(row.tolist(), tokens.to_pylist()):
+                    got[i].append(t)
+                assert [sorted(g) for g in got] == want[lo : lo + step]
+        assert len(cut(*flat.texts(pa.array([], pa.string())))[1]) == 0
+    assert flat.tokeniser(text.passthrough_terms) is None
