@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import passthrough_terms
 from ..operators import binary, lexical
+from ..operators.tables import bounded_broadcast, materialize
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -18,7 +19,7 @@ def metadata_filter(metadata: Column, filters: Column) -> Column:
     return F.forall(filters, lambda f: F.coalesce(F.element_at(metadata, f["key"]) == f["value"], F.lit(False)))
 
 
-def retrieve(tokens: DataFrame, texts: DataFrame, queries: DataFrame, k: int = 10, analyzer: Callable[[Column], Column] = passthrough_terms, reranker: Hook | None = None) -> DataFrame:
+def retrieve(tokens: DataFrame | lexical.scan.Texts, texts: DataFrame, queries: DataFrame, k: int = 10, analyzer: Callable[[Column], Column] = passthrough_terms, reranker: Hook | None = None) -> DataFrame:
     """Analyse (query_id, text), rank by BM25, cut to k, rerank, then join the texts (doc_id, ...).
 
     A query without words is searched as one term; blank ones find nothing."""
@@ -26,7 +27,9 @@ def retrieve(tokens: DataFrame, texts: DataFrame, queries: DataFrame, k: int = 1
     q = queries.where("length(trim(coalesce(text, ''))) > 0").select("query_id", F.when(F.size(terms) > 0, terms).otherwise(F.array("text")).alias("terms"))
     hits = lexical.bm25(tokens, q, k) if k > 0 else lexical.bm25(tokens, q, 1).limit(0)
     hits = reranker(hits) if reranker else hits
-    return hits.join(texts, "doc_id")
+    # k rows a query: as a rule texts stay where they are
+    hits = materialize(hits, "hits")
+    return bounded_broadcast(hits, hits.count(), 64).join(texts, "doc_id")
 
 
 def two_stage(records: DataFrame, queries: DataFrame, k: int = 10, candidates: int = 64, drop_self: bool = False) -> DataFrame:

@@ -232,3 +232,13 @@ def test_fusion_tokenises_once(spark, odd_tables, monkeypatch):
 
 def test_bag_of_words_tokenises_once(spark, odd_tables, monkeypatch):
     scanned_once(spark, odd_tables, monkeypatch, "bow_cosine_topk")
+
+
+def test_facade_tokenises_once_and_leaves_texts_where_they_are(spark, odd_tables, monkeypatch):
+    """Hits are sent to the documents, whatever size Spark takes them for."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scanned_once(spark, odd_tables, monkeypatch, "retrieval_facade")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
